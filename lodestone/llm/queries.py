@@ -44,3 +44,41 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    found = dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, pos, txt[pos] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS txt FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(txt) + 1)) AS pos) p),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM line),
+common AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT keyed.*, common.k IS NOT NULL AND doc_id <> keeper AS lost
+  FROM keyed LEFT JOIN common ON keyed.k = common.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@_query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
