@@ -111,3 +111,44 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = identify(docs.select("doc_id", "text"), fit(docs, ~held_out))
+    return found.select("row.doc_id", (F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 32 << 20
+
+
+@_query
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    found = assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("row.doc_id", "shard", F.col("depth").cast("int").alias("depth"), "n_bytes", "shard_bytes")
+
+
+ORACLES["op8_extendible_sharding"] = rf"""
+WITH doc AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h
+  FROM documents),
+tried AS (SELECT doc.*, d, h >> (48 - d) AS prefix FROM doc, (SELECT unnest(range(0, 49)) AS d) depths),
+bucket AS (
+  SELECT d, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS n FROM tried GROUP BY d, prefix),
+fits AS (
+  SELECT doc_id, n_bytes, tried.d, tried.prefix, shard_bytes,
+         row_number() OVER (PARTITION BY doc_id ORDER BY tried.d) AS r
+  FROM tried JOIN bucket ON tried.d = bucket.d AND tried.prefix = bucket.prefix
+  WHERE shard_bytes <= {SHARD_BYTES} OR n = 1)
+SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), d::INTEGER) END AS shard,
+       d::INTEGER AS depth, n_bytes, shard_bytes
+FROM fits WHERE r = 1
+"""
