@@ -32,11 +32,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints_of(texts: list[str | None], words: int) -> np.ndarray:
-    """SimHash of each text over its shingles of ``words`` words, repeats included."""
+def fingerprints_of(texts: list[str | None], words: int, wide: int = 1) -> np.ndarray:
+    """SimHash of each text over its shingles of ``words`` words, repeats included: (texts, ``wide``) words of 64 bits.
+
+    The first word comes from XXH64 with seed 42, each further one from that hash mixed anew.
+    """
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), wide), np.uint64)
     ends, rows = [], []
     for row, text in enumerate(texts):
         tokens = text.encode().lower().split() if text else []
@@ -54,28 +57,35 @@ def fingerprints_of(texts: list[str | None], words: int) -> np.ndarray:
     if not rows:
         return out
     starts = np.array([0, *ends[:-1]])
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    over = total * 2 > np.diff(np.append(starts, len(hashes)))[:, None]
-    out[rows] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    mixed, size = np.array(hashes, "<u8"), np.diff(np.append(starts, len(hashes)))[:, None]
+    for w in range(wide):
+        if w:
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(w)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        over = np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > size
+        out[rows, w] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprint(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long, zero without words."""
+def fingerprint(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", wide: int = 1) -> DataFrame:
+    """(id, fp) for every row, with fp1 and so on if ``wide``; fingerprints are signed longs, zero without words."""
+    names = ["fp", *[f"fp{w}" for w in range(1, wide)]]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                prints = fingerprints_of(part.column("t").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(prints.view(np.int64))], ["id", "fp"])
+                prints = fingerprints_of(part.column("t").to_pylist(), words, wide).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("k"), *[pa.array(prints[:, w].copy()) for w in range(wide)]], ["id", *names])
 
-    return docs.selectExpr(f"`{id_col}` AS k", f"`{text_col}` AS t").mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.selectExpr(f"`{id_col}` AS k", f"`{text_col}` AS t").mapInArrow(run, ", ".join([f"id {kind}", *[f"{n} bigint" for n in names]]))
 
 
 def _local_links(table: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of whole buckets, which lie next to each other."""
+    """Spanning links of whole buckets, which lie next to each other, as places; fp is (rows, words)."""
     n = len(fp)
     first = np.ones(n, bool)
     first[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
@@ -86,7 +96,7 @@ def _local_links(table: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int
     at = np.flatnonzero(left > 1)
     step = 1
     while len(at):
-        close = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        close = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(1, dtype=np.int32) <= radius]
         while len(close):
             a, b = label[close], label[close + step]
             apart = a != b
@@ -102,7 +112,7 @@ def _local_links(table: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int
         step += 1
         at = at[left[at] > step]
     linked = np.flatnonzero(label != np.arange(n))
-    return fp[linked], fp[label[linked]]
+    return linked, label[linked]
 
 
 def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -125,8 +135,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(t.astype(np.int32))], ["a", "b", "t"])
 
         def whole(t, k, f):
-            a, b = _local_links(t, k, f, radius)
-            pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.uint64)
+            a, b = _local_links(t, k, f[:, None], radius)
+            pair = np.unique(np.stack([f[a], f[b]]), axis=1) if len(a) else np.zeros((2, 0), np.uint64)
             return out(pair[0], pair[1], np.full(pair.shape[1], -1))
 
         held, large = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)), None
@@ -195,3 +205,63 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = labelled.join(smallest, "label").select("fp", "component_id")
     return of.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def bits_apart(similarity: float, bits: int) -> float:
+    """Differing bits to expect of two shingle sets of equal size with this Jaccard similarity."""
+    return float(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 2, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every row whose id is not null; component_id is the smallest id of its group of near copies.
+
+    Two texts are near copies if 256-bit fingerprints over shingles of
+    ``words`` words differ in no more bits than shingle sets of that Jaccard
+    ``similarity`` do, one standard deviation granted. Candidates agree on a
+    covering mask of one of ``parts`` parts of the first 64 bits: none is
+    missed whose nearest part differs in at most ``radius`` bits. Fewer parts
+    make longer keys, which larger tables need. Texts without words are no
+    near copies of any; equal texts always are. A bucket's distinct
+    fingerprints are compared in the task that holds it, 40 bytes each; only
+    links that join groups leave it.
+    """
+    total = 256
+    expect = bits_apart(similarity, total)
+    most = int(expect + np.sqrt(expect * (1 - expect / total)))
+    names = ["fp", "fp1", "fp2", "fp3"]
+    of = stored(fingerprint(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, wide=4), "prints")
+    some = F.greatest(*[F.col(n) != 0 for n in names])
+    prints = stored(of.where(some).groupBy(*names).agg(F.min("id").alias("least")), "distinct")
+    size = 64 // parts
+    masks = [m << (p * size) for p in range(parts) for m in covering_masks(radius, size)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    dealt = prints.select("least", *names, F.explode(keys).alias("x")).select("x.t", "x.key", "least", *names)
+    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            t, k, least, *fp = rows
+            a, b = _local_links(t, k, np.stack([f.view(np.uint64) for f in fp], 1), most)
+            pair = np.unique(np.stack([least[a], least[b]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            own = [c.to_numpy() for c in batch.columns]
+            edge = np.flatnonzero((own[0] != own[0][-1]) | (own[1] != own[1][-1])) if len(own[0]) else []
+            if len(edge):  # what came before the last bucket is whole, with what was held of its first
+                cut = int(edge[-1]) + 1
+                held.append([c[:cut] for c in own])
+                yield linked([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = [[c[cut:] for c in own]]
+            else:
+                held.append(own)
+        if held:
+            yield linked([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    links = stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}"), "near")
+    groups = components(links)
+    classes = prints.join(groups, F.col("least") == F.col("node"), "left").select(*names, F.coalesce("component", "least").alias("component_id"))
+    found = of.join(classes, names, "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    return found
