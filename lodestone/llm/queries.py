@@ -152,3 +152,12 @@ SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), d:
        d::INTEGER AS depth, n_bytes, shard_bytes
 FROM fits WHERE r = 1
 """
+
+
+@_query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    learns = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    found = score_texts(_table(spark, sf_dir, "documents"), learns)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
