@@ -73,7 +73,7 @@ def config_key(line: Column) -> Column:
     """Key of a ``; key = value`` line, by the first ``=``; null for other lines."""
     at = F.instr(line, "=")
     key = F.trim(line.substr(F.lit(2), at - 2))
-    return F.when((F.substring(line, 1, 1) == ";") & (at > 2) & key.rlike(r"^[A-Za-z0-9_\- ()/%]+$"), key)
+    return F.when((F.substring(line, 1, 1) == ";") & (at > 2) & key.rlike(r"^[A-Za-z0-9_\- ()\[\]/%]+$"), key)
 
 
 def config_value(line: Column) -> Column:
