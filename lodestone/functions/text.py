@@ -84,7 +84,7 @@ def config_value(line: Column) -> Column:
 def split_aligned(x: Column) -> Column:
     """Parts by ``;`` if there is one, else by ``,``; trimmed."""
     parts = F.when(F.contains(x, F.lit(";")), F.split(x, ";")).otherwise(F.split(x, ","))
-    return F.transform(parts, F.trim)
+    return F.transform(parts, lambda p: F.trim(p))
 
 
 def norm_hex(x: Column) -> Column:

@@ -364,10 +364,10 @@ def nearest_vector(spark, sf_dir):
 
 @query("latest_component_then_due", """
 WITH last AS (SELECT o_custkey, o_orderpriority, max_by(o_orderdate, o_orderkey) AS d FROM orders GROUP BY 1, 2)
-SELECT o_custkey, CAST(min(d) AS DATE) AS due FROM last GROUP BY 1""")
+SELECT o_custkey, CAST(CAST(min(d) AS DATE) AS VARCHAR) AS due FROM last GROUP BY 1""")
 def latest_component_then_due(spark, sf_dir):
     last = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.max_by("o_orderdate", "o_orderkey").alias("d"))
-    return last.groupBy("o_custkey").agg(F.min("d").cast("date").alias("due"))
+    return last.groupBy("o_custkey").agg(F.min("d").cast("date").cast("string").alias("due"))
 
 
 @query("maintenance_due", """
