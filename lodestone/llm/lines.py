@@ -39,7 +39,11 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def add(self, holders: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, id), distinct, of ids in no other batch. Returns its run; ``fresh`` marks keys that no earlier run holds."""
+        """Add a batch of (h1, h2, id), distinct, of ids in no other batch. Returns its run; ``fresh`` marks keys that no earlier run holds.
+
+        The run may be compacted, and its own files deleted, when the next batch is added.
+        """
+        self._compact()
         own = holders.groupBy(*_HASH).agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
         if self.runs():
             held = self._merged(self.runs()).select(*_HASH, F.lit(False).alias("fresh"))
@@ -48,12 +52,11 @@ class LineRuns:
             own = own.withColumn("fresh", F.lit(True))
         run = stored(own.sortWithinPartitions(*_HASH), "run")
         self.levels[0].append(run)
-        self._compact()
         return run
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
-            if len(self.levels[k]) > self.fanout:
+            if len(self.levels[k]) >= self.fanout:
                 old, self.levels[k] = self.levels[k], []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
