@@ -212,14 +212,14 @@ def bits_apart(similarity: float, bits: int) -> float:
     return float(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 2, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 3, radius: int = 4, size: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for every row whose id is not null; component_id is the smallest id of its group of near copies.
 
     Two texts are near copies if 256-bit fingerprints over shingles of
     ``words`` words differ in no more bits than shingle sets of that Jaccard
     ``similarity`` do, one standard deviation granted. Candidates agree on a
-    covering mask of one of ``parts`` parts of the first 64 bits: none is
-    missed whose nearest part differs in at most ``radius`` bits. Fewer parts
+    covering mask of one of the first ``parts`` parts of ``size`` bits: none is
+    missed one of whose parts differs in at most ``radius`` bits. Longer parts
     make longer keys, which larger tables need. Texts without words are no
     near copies of any; equal texts always are. A bucket's distinct
     fingerprints are compared in the task that holds it, 40 bytes each; only
@@ -232,9 +232,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, parts:
     of = stored(fingerprint(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, wide=4), "prints")
     some = F.greatest(*[F.col(n) != 0 for n in names])
     prints = stored(of.where(some).groupBy(*names).agg(F.min("id").alias("least")), "distinct")
-    size = 64 // parts
-    masks = [m << (p * size) for p in range(parts) for m in covering_masks(radius, size)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    each = 64 // size
+    masks = [(names[p // each], m << (p % each * size)) for p in range(parts) for m in covering_masks(radius, size)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col(n).bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (n, m) in enumerate(masks)])
     dealt = prints.select("least", *names, F.explode(keys).alias("x")).select("x.t", "x.key", "least", *names)
     dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
 
