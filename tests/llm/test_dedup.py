@@ -129,6 +129,33 @@ def test_near_copies_by_shingle_similarity(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_decided_by_jaccard(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(rng.randrange(120, 400))]
+        rows.append((10 * g, " ".join(own)))
+        want[10 * g] = 10 * g
+        n = len(own) - 4  # a cut tail leaves a subset: the similarity is the share of shingles kept
+        for k, share in ((1, 0.75), (2, 0.8), (3, 0.85)):
+            if k == 1 + g % 3:
+                kept = -(-n * int(100 * share + 0.5) // 100)
+                rows.append((10 * g + k, " ".join(own[: kept + 4])))
+                want[10 * g + k] = 10 * g if kept >= 0.8 * n else 10 * g + k
+    # One large group that a chain joins, and a text of equal words that differs in its rare shingles only.
+    chain = [f"c{i}" for i in range(900)]
+    for k in range(40):
+        rows.append((2000 + k, " ".join(chain[10 * k : 10 * k + 200])))
+        want[2000 + k] = 2000
+    for k in range(2):
+        rows.append((3000 + k, " ".join(["same"] * 2000 + [f"r{k}x{i}" for i in range(100)])))
+        want[3000 + k] = 3000 + k
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
