@@ -39,11 +39,23 @@ def search(posts: DataFrame, key: str, text: str) -> DataFrame:
 def contained(items: DataFrame, docs: DataFrame, item: str, doc: str, first_words: int = 8) -> DataFrame:
     """(item, doc, unique): documents that hold an item's text; unique if it is the only one.
 
-    A shared run of words brings the candidates together, the whole text decides.
+    A shared run of words brings the candidates together, the whole text
+    decides. The run is of words inside the item, since those at its ends may
+    be cut from longer ones; an item with fewer of them has a run of its own
+    length, and one with none is tested against every document.
     """
-    run = lambda list_: F.array_join(F.slice(list_, 1, first_words), " ")
-    a = items.select(item, F.lower("text").alias("needle")).withColumn("run", run(words(F.col("needle"))))
-    b = docs.select(doc, F.lower("text").alias("hay"), words(F.col("text")).alias("w"))
-    b = b.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - first_words + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, first_words), " ")))))
-    hits = a.join(b, "run").where(F.contains("hay", "needle")).select(item, doc).distinct()
+    needle, w = F.col("needle"), F.col("words")
+    first, last = (F.when(needle.rlike(r), 1).otherwise(0) for r in (r"\A[\p{L}\p{N}]", r"[\p{L}\p{N}]\z"))
+    a = items.select(item, F.lower("text").alias("needle")).where("needle IS NOT NULL").withColumn("words", words(needle))
+    a = a.withColumn("run", F.slice(w, 1 + first, F.least(F.lit(first_words), F.greatest(F.size(w) - first - last, F.lit(0))))).withColumn("n", F.size("run"))
+    a = a.select(item, "needle", "n", F.array_join("run", " ").alias("run"))
+    sizes = sorted(r.n for r in a.select("n").distinct().collect())  # at most first_words + 1 numbers
+    b = docs.select(doc, F.lower("text").alias("hay"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    each = F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes if n], F.array().cast("array<string>"))))
+    holds = F.contains("hay", "needle")
+    hits = a.where("n > 0").join(b.withColumn("w", words(F.col("hay"))).withColumn("run", each), "run").where(holds).select(item, doc)
+    if 0 in sizes:
+        hits = hits.union(a.where("n = 0").join(b, holds).select(item, doc))
+    hits = hits.distinct()
     return hits.join(hits.groupBy(item).agg((F.count("*") == 1).alias("unique")), item)

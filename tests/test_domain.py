@@ -222,3 +222,15 @@ def test_small_operators(spark, tmp_path):
     assert sorted(r.issue for r in actions.health(sick).collect()) == ["disk", "throttled"]
     (tmp_path / "b.json").write_text('{"a": 1}')
     assert storage.read_document(spark, str(tmp_path / "none.json"), str(tmp_path / "b.json")).first().a == 1
+
+
+def test_contained_finds_short_and_cut_items(spark):
+    texts = ["The quick brown fox jumps over the lazy dog and then it sleeps all day long", "a quick brown cat", "brown", "", "Unrelated words, of no use here at all to anyone who is looking"]
+    needles = ["quick brown", "ick brown fox jumps over the lazy dog and then it sle", "brown", "row", "lazy dog", ", of no", "quick brown fox jumps over the lazy dog", "nothing", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame(list(enumerate(needles)), "item_id int, text string")
+    want = {(i, d, sum(n.lower() in t.lower() for t in texts) == 1) for i, n in enumerate(needles) if n is not None for d, t in enumerate(texts) if n.lower() in t.lower()}
+    from lodestone.operators import search
+
+    got = [tuple(r) for r in search.contained(items, docs, "item_id", "doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
