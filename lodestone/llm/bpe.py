@@ -9,7 +9,6 @@ taken and kept in bounded memory.
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -22,6 +21,10 @@ from .pretoken import PieceCache
 from .vocab import ranks as load_ranks
 
 
+#: Ids that the decoder takes at once.
+RUN = 64
+
+
 class MergeTransducer:
     """Left-to-right encoder whose output equals merging by ascending rank.
 
@@ -51,6 +54,7 @@ class MergeTransducer:
         self._reset()
 
     def _reset(self) -> None:
+        """Forget all states and the pairs of tokens looked at."""
         self.agree: dict[int, bool] = {}
         self.joint: dict[int, int] = {}
         # A state: for each place where a token may have begun, its trie node so far and the token before it.
@@ -124,6 +128,8 @@ class MergeTransducer:
             token = self.token_at[node]
             if own < 0 and token >= 0 and (self.size[token] == 1 or self._made_of(token)) and (ahead < 0 or self._fits(ahead, token)):
                 own = token
+        if own < 0:
+            raise ValueError(f"the ranks have no token for byte {byte}")
         alive.append((0, own))
         key = tuple(alive)
         number = self.numbers.get(key)
@@ -142,6 +148,8 @@ class MergeTransducer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that comes in chunks; those before a state with nothing open go out at once."""
+        if len(self.states) + len(self.agree) + len(self.joint) > self.most_states:
+            self._reset()
         state, last = 0, []
         for chunk in chunks:
             for byte in chunk:
@@ -156,39 +164,85 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; a pre-token that is itself a token stays whole."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self.states) > self.most_states:
-            self._reset()
-        state, last, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move >> 24
-            last.append(move & 0xFFFFFF)
-        return self._chain(last)
+        return [whole] if whole is not None else list(self.stream((piece,)))
+
+
+#: States of the UTF-8 machine: between characters, so many bytes still to come, and the four with a narrower second byte; then the fault.
+START, ONE, TWO, THREE, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4, FAULT = range(9)
+
+
+def _utf8_moves() -> np.ndarray:
+    """(state, byte) -> state, by the table of well-formed sequences."""
+    to = np.full((9, 256), FAULT, np.uint8)
+    to[START, :0x80] = START
+    for first, last, state in ((0xC2, 0xDF, ONE), (0xE1, 0xEC, TWO), (0xEE, 0xEF, TWO), (0xF1, 0xF3, THREE), (0xE0, 0xE0, AFTER_E0), (0xED, 0xED, AFTER_ED), (0xF0, 0xF0, AFTER_F0), (0xF4, 0xF4, AFTER_F4)):
+        to[START, first : last + 1] = state
+    for state, low, high, then in ((ONE, 0x80, 0xBF, START), (TWO, 0x80, 0xBF, ONE), (THREE, 0x80, 0xBF, TWO), (AFTER_E0, 0xA0, 0xBF, ONE), (AFTER_ED, 0x80, 0x9F, ONE), (AFTER_F0, 0x90, 0xBF, TWO), (AFTER_F4, 0x80, 0x8F, TWO)):
+        to[state, low : high + 1] = then
+    return to
+
+
+_MOVES = [row.tolist() for row in _utf8_moves()]
+_REPLACED = "\ufffd".encode()
 
 
 class StreamDecoder:
-    """Ids to text as they arrive; a character cut by a token border waits for the rest of its bytes."""
+    """Ids to UTF-8 as they arrive, by a state machine over the bytes.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+    Only whole characters come out: one cut by a token border waits for the rest
+    of its bytes. What is no UTF-8 comes out as the replacement character, one
+    for each longest beginning of a character.
+    """
 
-    def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)))
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.state, self.waiting = START, b""
 
-    def finish(self) -> str:
-        return self.machine.decode(b"", True)
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> StreamDecoder:
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        return cls(tokens)
+
+    def feed(self, ids: Iterable[int]) -> bytes:
+        """The bytes of all characters that these ids end."""
+        new = b"".join([self.tokens[i] for i in ids])
+        if self.state == START and new.isascii():
+            return new
+        raw, state, whole, parts, begin = self.waiting + new, self.state, 0, [], 0
+        for at in range(len(self.waiting), len(raw)):
+            to = _MOVES[state][raw[at]]
+            if to == FAULT and state != START:  # what was open is no character; this byte may begin one
+                parts.append(raw[begin:whole] + _REPLACED)
+                begin = whole = at
+                to = _MOVES[START][raw[at]]
+            if to == FAULT:
+                parts.append(raw[begin:at] + _REPLACED)
+                begin, to = at + 1, START
+            state = to
+            if state == START:
+                whole = at + 1
+        self.state, self.waiting = state, raw[whole:]
+        return b"".join([*parts, raw[begin:whole]])
+
+    def finish(self) -> bytes:
+        """What a character that never ended leaves; the decoder is as new afterwards."""
+        out = _REPLACED if self.waiting else b""
+        self.state, self.waiting = START, b""
+        return out
 
 
 class _Worker:
     def __init__(self, path: str):
         table = load_ranks(path)
         self.cache = PieceCache(MergeTransducer(table).encode)
-        self.token = [b""] * (max(table.values()) + 1)
-        for token, rank in table.items():
-            self.token[rank] = token
+        self.decoder = StreamDecoder.of(table)
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """The text of a document's ids, which the decoder takes in runs."""
+        out = [self.decoder.feed(ids[k : k + RUN]) for k in range(0, len(ids), RUN)]
+        return b"".join([*out, self.decoder.finish()])
 
 
 @cache
@@ -201,7 +255,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``path`` names a file of ranks. A null or empty text has no ids and decodes
     to no bytes; repeated rows give repeated results, an empty table an empty
-    one; other columns are not read. ``decoded`` is made from the ids alone.
+    one; other columns are not read. ``decoded`` is made from the ids alone, by
+    the streaming decoder. A byte that the ranks lack raises ValueError.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -210,8 +265,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in slices(batch, "t"):
                 ids, bounds = worker.cache.ids([t or "" for t in part.column("t").to_pylist()])
-                token, at = worker.token, bounds.tolist()
-                decoded = [b"".join([token[i] for i in ids[a:b].tolist()]) for a, b in zip(at, at[1:], strict=False)]
+                at = bounds.tolist()
+                decoded = [worker.decoded(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("k"), lists, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 

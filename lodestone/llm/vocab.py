@@ -60,9 +60,9 @@ class LibraryEncoder:
         marked = self._marked(texts)
         if not marked:
             return self.cache.ids(texts)
-        parts = []
+        parts, special = [], set(marked)
         for i, text in enumerate(texts):
-            own = self.tokenizer.encode(text, add_special_tokens=False).ids if i in set(marked) else self.cache.ids([text])[0]
+            own = self.tokenizer.encode(text, add_special_tokens=False).ids if i in special else self.cache.ids([text])[0]
             parts.append(np.asarray(own, np.int32))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 

@@ -1,11 +1,13 @@
 """Pre-tokenisation, byte-level BPE, packing and token counts against the libraries."""
 
+import codecs
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import regex
 import tiktoken
 from pyspark.sql import Row
@@ -65,8 +67,26 @@ def test_encode_rows_and_streaming_decode(spark):
     for i, t in enumerate(ODD):
         assert got[i].ids == core.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
     assert bpe.encode(table(spark).limit(0), MULTI).count() == 0
-    decoder, ids = bpe.StreamDecoder(vocab.ranks(MULTI)), core.encode_ordinary("naïve 日本 😀 end")
-    assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == "naïve 日本 😀 end"
+    decoder, ids = bpe.StreamDecoder.of(vocab.ranks(MULTI)), core.encode_ordinary("naïve 日本 😀 end")
+    parts = [decoder.feed([i]) for i in ids]
+    assert (b"".join(parts) + decoder.finish()).decode() == "naïve 日本 😀 end"
+    for part in parts:
+        part.decode()  # whole characters only
+
+
+def test_decoder_against_the_incremental_codec():
+    rng = random.Random(9)
+    tokens = [bytes([b]) for b in range(256)] + ["é日".encode(), "😀".encode()[:3], b"\xed\xa0", b"\xf4\x90", b"ab"]
+    for k in range(3000):
+        ids = [rng.choice([rng.randrange(256), 257, 258, 259, 260, 0xC3, 0xE2, 0x82, 0xF0]) for _ in range(rng.randint(0, 12))]
+        decoder, codec, cut = bpe.StreamDecoder(tokens), codecs.getincrementaldecoder("utf-8")("replace"), rng.randint(0, 12)
+        mine = decoder.feed(ids[:cut]) + decoder.feed(ids[cut:]) + decoder.finish()
+        assert mine.decode() == codec.decode(b"".join(tokens[i] for i in ids), True)
+
+
+def test_a_byte_that_the_ranks_lack():
+    with pytest.raises(ValueError, match="no token for byte 99"):
+        bpe.MergeTransducer({b"a": 0, b"b": 1, b"ab": 2}).encode(b"abca")
 
 
 def test_counts_equal_the_library(spark):
