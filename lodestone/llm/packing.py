@@ -129,7 +129,7 @@ def plan(number: np.ndarray, capacity: int, rounds: int = 500) -> list[tuple[Con
             take(config, 1 << 60)
         for config, k in best_fit(left, capacity).items():
             chosen[config] = chosen.get(config, 0) + k
-    if not chosen or sum(chosen.values()) >= sum(plain.values()):
+    if not chosen or sum(chosen.values()) > sum(plain.values()):  # only where rounding cost more than the program gained
         chosen = plain
     out = sorted(chosen.items(), key=lambda c: (-c[1], c[0]))
     return ([(((capacity, 1),), full)] if full else []) + out
