@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share; set here only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -49,10 +51,11 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a slice hold about so many characters; one longer text makes a slice alone."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a slice hold about so many characters; one longer text makes a slice alone. ``field``: the texts are in that field of a struct column."""
     start, total = 0, 0
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    texts = batch.column(column) if field is None else pc.struct_field(batch.column(column), field)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, n in enumerate(sizes):
         if i > start and total + n > chars:
             yield batch.slice(start, i - start)

@@ -13,15 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 from .pretoken import LETTER, class_table
 
 BITS, ORDERS = 16, 3
-#: Most labelled rows that the fit reads, over all languages alike, and most languages (the commonest).
-MOST_ROWS, MOST_LANGUAGES = 4096, 64
+#: Most labelled rows that the fit reads, over all languages alike (but LEAST_ROWS of each), and most bytes of n-grams that come to the driver.
+MOST_ROWS, LEAST_ROWS, MOST_BYTES = 4096, 16, 256 << 20
+#: Numbers that a step of a prediction holds: characters times languages.
+STEP = 8_000_000
 UNKNOWN = "und"
 
 
@@ -55,12 +58,17 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         hashed, bounds, letters = grams(texts)
         logits = np.zeros((len(texts), len(self.languages)))
-        some = np.flatnonzero(np.diff(bounds))
-        if len(some):
-            gained = self.weights[hashed[0]]
+        size = np.diff(bounds)
+        some = np.flatnonzero(size)
+        step = max(STEP // len(self.languages), 1)
+        for a in range(0, int(bounds[-1]), step):  # a text may reach over several steps
+            b = min(a + step, int(bounds[-1]))
+            gained = self.weights[hashed[0, a:b]]
             for n in range(1, ORDERS):
-                gained += self.weights[hashed[n]]
-            logits[some] = np.add.reduceat(gained, bounds[:-1][some], axis=0, dtype=np.float64) / np.diff(bounds)[some, None]
+                gained += self.weights[hashed[n, a:b]]
+            own = some[(bounds[:-1][some] < b) & (bounds[1:][some] > a)]
+            logits[own] += np.add.reduceat(gained, np.maximum(bounds[:-1][own] - a, 0), axis=0, dtype=np.float64)
+        logits[some] /= size[some, None]
         share = softmax((logits + self.bias) / self.temperature)
         best = share.argmax(1)
         known = letters > 0
@@ -124,13 +132,15 @@ def fit(docs: DataFrame, may_learn: Column, label: str = "lang", id_col: str = "
     """Train on at most about MOST_ROWS labelled rows where ``may_learn`` holds; None if there are none.
 
     Every language gives the same number of rows as far as it has them, chosen
-    by a hash of the id; their whole texts are read.
+    by a hash of the id; their whole texts are read. No language is left out:
+    each gives LEAST_ROWS even if that goes beyond MOST_ROWS. Rows whose n-grams
+    would take the driver beyond its share of MOST_BYTES are passed over.
     """
     rows = docs.where(may_learn & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label).cast("string").alias("lang")).where("t <> ''")
-    have = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    have = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not have:
         return None
-    each = MOST_ROWS // len(have)
+    each = max(MOST_ROWS // len(have), LEAST_ROWS)
     share = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, each / n))])
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
 
@@ -146,7 +156,10 @@ def fit(docs: DataFrame, may_learn: Column, label: str = "lang", id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["id", "lang", "at", "share"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = chosen.select("id", "lang", "t").mapInArrow(run, f"id {kind}, lang string, at binary, share binary").collect()
+    told = stored(chosen.select("id", "lang", "t").mapInArrow(run, f"id {kind}, lang string, at binary, share binary"), "grams")
+    own = F.octet_length("at") + F.octet_length("share")
+    before = F.sum(own).over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "at")) - own
+    got = told.withColumn("before", before).where(F.col("before") <= MOST_BYTES // len(have)).drop("before").collect()
     got.sort(key=lambda r: (r.id, r.at))
     return train([(r.lang, np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.share, "<f4").astype(float)) for r in got])
 
@@ -160,15 +173,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("t"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = source.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        chars = 2_000_000 if model is None else min(2_000_000, 8_000_000 // len(model.languages))
         for batch in batches:
-            for part in slices(batch, "t", chars):
-                texts = part.column("t").to_pylist()
+            for part in slices(batch, "row", field=text_col):
+                texts = pc.struct_field(part.column("row"), text_col).to_pylist()
                 found, score = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 

@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table of (128-bit hash, documents, largest id), partitioned and
-sorted by hash. A batch of documents becomes a run of its own: it is merged
-against the earlier runs to tell its fresh keys from known ones and then
-added to the lowest level. A level with too many runs is compacted into one
-run of the next. Only built-in functions are used.
+sorted by hash. Each batch of documents merge-anti-joins the earlier runs: the
+keys that none of them holds are fresh and enter the run as keys, the others
+only as additions to a key that an earlier run brought. A level with too many
+runs is compacted into one run of the next. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs; every key's totals are the sums over all runs that hold it."""
+    """Levels of sorted runs. A key is fresh in exactly one run; later runs hold additions to it."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
@@ -45,37 +45,48 @@ class LineRuns:
         """
         self._compact()
         own = holders.groupBy(*_HASH).agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+        own = own.withColumn("fresh", F.lit(True))
         if self.runs():
-            held = self._merged(self.runs()).select(*_HASH, F.lit(False).alias("fresh"))
-            own = own.join(held.hint("merge"), _HASH, "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+            own = stored(own, "batch")
+            held = self._keys().hint("merge")
+            fresh = own.join(held, _HASH, "left_anti")
+            known = own.join(held, _HASH, "left_semi").withColumn("fresh", F.lit(False))
+            run = stored(fresh.unionByName(known).sortWithinPartitions(*_HASH), "run")
+            dropped(own)
         else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = stored(own.sortWithinPartitions(*_HASH), "run")
+            run = stored(own.sortWithinPartitions(*_HASH), "run")
         self.levels[0].append(run)
         return run
 
+    def _keys(self) -> DataFrame:
+        """The keys of all runs; each is fresh in one of them, so none comes up twice."""
+        return _united(self.runs()).where("fresh").select(*_HASH)
+
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 old, self.levels[k] = self.levels[k], []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                merged = self._merged(old).withColumn("fresh", F.lit(True))
+                # A key that one of these runs brought stays fresh; additions to keys of other levels stay additions.
+                merged = _united(old).groupBy(*_HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
                 self.levels[k + 1].append(stored(merged.sortWithinPartitions(*_HASH), "run"))
                 for run in old:
                     dropped(run)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy(*_HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
     def totals(self) -> DataFrame:
-        return self._merged(self.runs()).select(*_HASH, "n_docs", "keeper")
+        """(h1, h2, n_docs, keeper) of every key: what its fresh row brought and what was added since."""
+        every = _united(self.runs())
+        added = every.where("NOT fresh").groupBy(*_HASH).agg(F.sum("n_docs").alias("more"), F.max("keeper").alias("later"))
+        keys = every.where("fresh").join(added, _HASH, "left")
+        return keys.select(*_HASH, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "later").alias("keeper"))
+
+
+def _united(runs: list[DataFrame]) -> DataFrame:
+    union = runs[0]
+    for run in runs[1:]:
+        union = union.unionByName(run)
+    return union
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +111,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     for k in range(batches):
         # Ids are dealt to batches whole, so a key's documents add up over runs.
         runs.add(lines.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).select(*_HASH, "id").distinct())
-    common = runs.totals().where(F.col("n_docs") >= min_docs)
+    # Stored, so that its measured size decides on a broadcast; else the join splits a hot key's partition.
+    common = stored(runs.totals().where(F.col("n_docs") >= min_docs), "common")
     lost = lines.join(common, _HASH).where("id <> keeper").groupBy("id", "print").agg(F.collect_set("pos").alias("lost"))
 
     out = source.join(lost.hint("shuffle_hash"), ["id", "print"], "left")

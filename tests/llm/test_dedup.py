@@ -45,6 +45,17 @@ def test_runs_tell_fresh_from_known_and_compact(spark):
     runs.add(batch((1, 1, 5)))
     assert [len(level) for level in runs.levels] == [1, 1]
     assert {(r.h1, r.n_docs, r.keeper) for r in runs.totals().collect()} == {(1, 4, 12), (2, 1, 10), (3, 1, 12)}
+    # Over many batches and compactions a key stays fresh once, and its totals are those of all batches.
+    rng, want = random.Random(2), {}
+    runs = lines.LineRuns(spark, fanout=2)
+    for k in range(6):
+        rows = {(h, h, 10 * k + d) for h in rng.sample(range(9), 4) for d in range(rng.randint(1, 3))}
+        fresh = {h for h, *_ in rows} - set(want)
+        for h, _, i in rows:
+            n, top = want.get(h, (0, -1))
+            want[h] = (n + 1, max(top, i))
+        assert {r.h1 for r in runs.add(batch(*rows)).collect() if r.fresh} == fresh
+    assert {r.h1: (r.n_docs, r.keeper) for r in runs.totals().collect()} == want
 
 
 @pytest.mark.parametrize("radius", [2, 4])
@@ -184,6 +195,7 @@ def test_shards_fit_and_form_a_directory(spark):
 
 def test_shard_files(spark, tmp_path):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("z" * 50).alias("text"))
-    found = sharding.write_shards(docs, f"{tmp_path}/s", 2000)
+    found = sharding.write_shards(docs.withColumn("_shard", F.lit(1)), f"{tmp_path}/s", 2000)
     back = spark.read.parquet(f"{tmp_path}/s")
-    assert back.count() == 200 and back.select("_shard").distinct().count() == found.select("shard").distinct().count()
+    assert back.count() == 200 and back.select("__shard").distinct().count() == found.select("shard").distinct().count()
+    assert back.where("_shard = 1").count() == 200

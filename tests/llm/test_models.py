@@ -42,6 +42,61 @@ def test_language_id_learns_and_never_sees_labels(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_predictions_do_not_depend_on_the_step(monkeypatch):
+    rows = [(la, *np.unique(langid.grams([t])[0], return_counts=True)) for _, t, la in corpus(60)]
+    model = langid.train([(la, at.astype(np.int64), n / n.sum()) for la, at, n in rows])
+    texts = ["the thing was here " * 50, None, "été là", "", "ü", "straße für " * 30]
+    want = model.predict(texts)
+    monkeypatch.setattr(langid, "STEP", 21)
+    got = model.predict(texts)
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
+def test_more_languages_than_a_table_of_old_held(spark):
+    rows = [(100 * k + i, " ".join([f"word{chr(97 + k % 26)}{chr(97 + k // 26)}"] * 9), f"l{k}") for k in range(80) for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 80
+
+
+def test_training_against_a_plain_loop():
+    """Follow-the-regularised-leader with elastic net, one weight at a time."""
+    rows = [(la, *np.unique(langid.grams([t])[0], return_counts=True)) for _, t, la in corpus(8)]
+    data = [(la, at.astype(np.int64), n / n.sum()) for la, at, n in rows]
+    model = langid.train(data, epochs=2)
+    langs = sorted({r[0] for r in data})
+    holders = {}
+    for _, at, _ in data:
+        for a in at.tolist():
+            holders[a] = holders.get(a, 0) + 1
+    idf = {a: math.log((1 + len(data)) / (1 + n)) + 1 for a, n in holders.items()}
+    scale = 1 / np.mean([math.sqrt(sum((x * idf[a]) ** 2 for a, x in zip(at.tolist(), v, strict=True))) for _, at, v in data])
+    z, n, bias, bias_n = {}, {}, [0.0] * len(langs), [0.0] * len(langs)
+
+    def weight(a, k):
+        if abs(z.get((a, k), 0.0)) <= 0.02:
+            return 0.0
+        return -(z[a, k] - math.copysign(0.02, z[a, k])) / ((1 + math.sqrt(n[a, k])) / 0.5 + 0.01)
+
+    for _ in range(2):
+        for i in np.random.default_rng(3).permutation(len(data)).tolist():
+            la, at, v = data[i]
+            x = {a: f * idf[a] * scale for a, f in zip(at.tolist(), v, strict=True)}
+            w = {(a, k): weight(a, k) for a in x for k in range(len(langs))}
+            e = [math.exp(sum(x[a] * w[a, k] for a in x) + bias[k]) for k in range(len(langs))]
+            for k, name in enumerate(langs):
+                p = e[k] / sum(e) - (name == la)
+                for a in x:
+                    g, old = x[a] * p, n.get((a, k), 0.0)
+                    z[a, k] = z.get((a, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 0.5 * w[a, k]
+                    n[a, k] = old + g * g
+                bias_n[k] += p * p
+                bias[k] -= 0.1 * p / math.sqrt(1 + bias_n[k])
+    for a in holders:
+        for k in range(len(langs)):
+            assert model.weights[a, k] == pytest.approx(weight(a, k) * idf[a] * scale, abs=1e-5)
+    assert model.temperature == 1.0 and model.bias == pytest.approx(bias)
+
+
 def test_grams_do_not_depend_on_the_batch():
     texts = ["abc", "", "É ß 日本", None, "x"]
     all_, bounds, _ = langid.grams(texts)
@@ -159,6 +214,8 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     rng = random.Random(4)
     shared = "this line is shared by a good many documents of the table"
     rows = [(i, " ".join(rng.choices([f"the{k}" for k in range(900)], k=120)) + ("\n" + shared if i % 2 else ""), "en", "s", 1) for i in range(30)]
+    # Two rows share an id; only the one that is a near copy goes.
+    rows += [(29, rows[3][1], "en", "s", 1)]
     rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(5)] + [(200, None, "en", "s", None), (201, "12 34", None, "s", 5), (202, "été là déjà où garçon", "fr", "s", 1)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
@@ -172,5 +229,6 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert set(seen[0]) == {i for i, *_ in rows} - {200, 201}
     assert sum(shared in t for t in seen[1].values()) == 1 and set(seen[1]) == set(seen[0])
     assert set(seen[2]) == set(seen[0]) - {100 + i for i in range(5)}
+    assert docs.count() == len(seen[2]) and seen[2][29].startswith(rows[29][1].split("\n")[0])
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.collect()} == set(seen[2])
