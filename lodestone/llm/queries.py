@@ -123,8 +123,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
-#: Bytes of text that a shard may hold.
-SHARD_BYTES = 32 << 20
+#: Bytes of text that a shard may hold: small, so that the directory is split on small tables too.
+SHARD_BYTES = 256 << 10
 
 
 @_query

@@ -29,7 +29,8 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     text = F.coalesce(text_col, F.lit(""))
     words = [F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.md5(text), F.md5(F.monotonically_increasing_id().cast("string"))]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.concat(*[F.substring(w, 1, 12) for w in words]).alias("address"))
-    rows = rows.withColumn("path", F.lit(""))
+    # Written once: places must not change between the rounds, which read sizes and addresses only.
+    rows = stored(rows, "addresses").withColumn("path", F.lit(""))
     done = None
     for k in range(ROUNDS):
         rows = rows.withColumn("chunk", F.conv(F.substring("address", k * STEP // 4 + 1, STEP // 4), 16, 10).cast("bigint"))
@@ -55,8 +56,14 @@ def _split(rows: DataFrame, limit: int, last: bool) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write every shard as a folder of Parquet files named by its bits (``root`` for none); returns the assignment."""
+    """Write every shard as a folder of Parquet files named by its bits (``root`` for none); returns the assignment.
+
+    The folders' column is ``_shard``, with further underscores where ``docs`` has such a column.
+    """
     found = stored(assign_shards(docs, limit, id_col, text_col), "shards")
-    named = found.select("row.*", F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("_shard"))
-    named.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    folder = "_shard"
+    while folder in docs.columns:
+        folder = "_" + folder
+    named = found.select("row.*", F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias(folder))
+    named.repartition(folder).write.partitionBy(folder).parquet(path)
     return found
