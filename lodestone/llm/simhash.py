@@ -14,7 +14,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, slices, stored
@@ -208,6 +208,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return of.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def text_print(text: Column) -> Column:
+    """Hash that tells texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """XXH64 of all shingles of ``words`` words, where each text's begin, and the rows of the texts that have words."""
     digest = xxhash.xxh64_intdigest
@@ -248,7 +253,7 @@ def min_hashes(texts: list[str | None], words: int, count: int) -> tuple[np.ndar
 
 
 def _signed_texts(docs: DataFrame, words: int, bands: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, g1, g2, keys, sig) for every row: digest of its shingle set, a key for each band and a byte of each minimum; null without words."""
+    """(id, print, g1, g2, keys, sig) for every row: hash of its text, digest of its shingle set, a key for each band and a byte of each minimum; null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +271,9 @@ def _signed_texts(docs: DataFrame, words: int, bands: int, depth: int, id_col: s
                 for k, (row, _, name) in enumerate(_each_set(texts, words)):
                     digest[row], keys[row], sig[row] = np.frombuffer(name, np.int64).tolist(), mixed[k].view(np.int64), low[k].tobytes()
                 halves = [pa.array([d and d[h] for d in digest], pa.int64()) for h in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("k"), *halves, pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "g1", "g2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("p"), *halves, pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "print", "g1", "g2", "keys", "sig"])
 
-    return docs.selectExpr(f"`{id_col}` AS k", f"`{text_col}` AS t").mapInArrow(run, f"id {kind}, g1 bigint, g2 bigint, keys array<bigint>, sig binary")
+    return docs.select(F.col(id_col).alias("k"), text_print(F.col(text_col)).alias("p"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, print bigint, g1 bigint, g2 bigint, keys array<bigint>, sig binary")
 
 
 def _bucket_pairs(t: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, sig: np.ndarray, first: int, last: int, alike: int):
@@ -297,7 +302,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
     """Those of the (a, b) pairs of nodes whose shingle sets have the Jaccard similarity, decided in whole numbers."""
     share = Fraction(str(similarity))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = prints.join(wanted, "node").select("node", F.col("least").alias("k"), "g1", "g2")
+    wanted = prints.join(wanted, "node").select("node", F.col("first.id").alias("k"), "g1", "g2")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +328,10 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, depth: int = 4, alike: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row whose id is not null; component_id is the smallest id of its group of near copies.
+    """(id, print, component_id, kept) for every row whose id is not null; component_id is the smallest id of its group of near copies.
+
+    ``print`` is ``text_print`` of the row's text; ``kept`` holds for the one
+    (id, print) of the group that comes first. Rows equal in both are each given.
 
     Two texts are near copies if their sets of shingles of ``words`` words have
     at least this Jaccard ``similarity``; every link is decided by the sets
@@ -338,7 +346,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     """
     docs = docs.where(F.col(id_col).isNotNull())
     of = stored(_signed_texts(docs, words, bands, depth, id_col, text_col), "prints")
-    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min(F.struct("id", "print")).alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     prints = stored(prints.withColumn("node", F.monotonically_increasing_id()), "distinct")
     members = prints.select("node", F.col("node").alias("label"), "sig", F.posexplode("keys").alias("t", "key"))
     fields = ["a", "b", "t", "key", "sig"]
@@ -390,9 +398,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
             break
         members = rest.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "sig", "t", "key")
         first, last = last + 1, last * 8
-    labelled = prints.join(groups, "node", "left").select("g1", "g2", "least", F.coalesce("component", "node").alias("label"))
+    labelled = prints.join(groups, "node", "left").select("g1", "g2", "first", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "labelled")
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(smallest, "label").select("g1", "g2", "component_id")
-    found = of.select("id", "g1", "g2").join(classes, ["g1", "g2"], "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("keeper"))
+    classes = labelled.join(smallest, "label").select("g1", "g2", "keeper")
+    found = of.select("id", "print", "g1", "g2").join(classes, ["g1", "g2"], "left")
+    kept = F.col("keeper").isNull() | (F.struct("id", "print") == F.col("keeper"))
+    return found.select(F.col("id").alias(id_col), "print", F.coalesce("keeper.id", "id").alias("component_id"), kept.alias("kept"))
