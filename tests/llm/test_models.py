@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import embeddings, langid, lm, topk
+from lodestone.llm import embeddings, langid, lm, pretoken, topk
 
 WORDS = {"en": "the and with thing that was here".split(), "fr": "été là où déjà garçon être".split(), "de": "über straße schön für können".split()}
 
@@ -135,14 +135,121 @@ def test_scores_base_and_totals(spark):
 
 def test_spelled_probabilities_add_up_to_at_most_one():
     tokens = [bytes([a]) for a in range(33, 127)] + [lm.END]
-    kinds, count = np.zeros(len(tokens), np.int64), np.arange(1, len(tokens) + 1)
-    slots, bits, owner, _ = lm.spelled(tokens, kinds)
-    table = np.zeros((int(lm._STARTS[-1]), 2), np.float16)
+    place, count = np.arange(len(tokens)) % 3, np.arange(1, len(tokens) + 1)
+    slots, bits, owner, _ = lm.spelled(tokens, place)
+    table = np.zeros((2, int(lm._STARTS[-1])), np.float32)
     for k in range(len(lm.CONTEXTS)):
-        np.add.at(table, (slots[k], bits), count[owner].astype(np.float16))
+        np.add.at(table, (bits, slots[k]), count[owner])
+    table = lm.packed(table)
     mixer = lm.Mixer.new()
-    mixer.learn(table, tokens, kinds, count)
-    assert (10 ** mixer.score(lm.states_of(table), tokens, kinds)).sum() <= 1 + 1e-9
+    mixer.learn(table, tokens, place, count)
+    for same in range(3):
+        assert (10 ** mixer.score(table, tokens, np.full(len(tokens), same), False)).sum() <= 1 + 1e-9
+
+
+def plain_scores(rows, trains, model):
+    """Scores of the texts one token and one bit at a time; counts are recounted, only the weights are the model's."""
+    tokens = [[*(t or "").encode().lower().split(), lm.END] for _, t in rows]
+    kind = [int(model.kinds.of([t])[0]) for _, t in rows]
+    leads = {}
+    for w in {w for ws in tokens for w in ws if len(w) <= 15}:
+        low, high, _ = pretoken.keys(w, np.array([0]), np.array([len(w)]))
+        leads[w] = int(model.kinds.leads.find(low, high)[0])
+    lead = lambda ws, i: 0 if i == 0 else leads.get(ws[i - 1], -1) + 1 or lm.OTHER
+    spelled = {}
+
+    def spell(w, place):
+        if (w, place) not in spelled:
+            slots, bits, _, partial = lm.spelled([w], np.array([place]))
+            spelled[w, place] = [(slots[:, b].tolist(), int(bits[b]), int(partial[b])) for b in range(len(bits))]
+        return spelled[w, place]
+
+    count, ends, seen, after = {}, [0] * lm.KINDS, {}, {}
+    texts = []
+    for ws, k, (i, _) in zip(tokens, kind, rows, strict=True):
+        h = [int(lm.token_hashes(w, np.array([0]), np.array([len(w)]), *pretoken.keys(w, np.array([0]), np.array([len(w)])))[0]) for w in ws]
+        new = lm.cuts(np.array(h, np.uint64), np.array([0, len(ws)])).tolist()
+        starts = [j for j, x in enumerate(new) if x]
+        parts = [(a, b, tuple(ws[max(a - 3, 0) : a])) for a, b in zip(starts, [*starts[1:], len(ws)], strict=True)]
+        texts.append(parts)
+        if not trains(i):
+            continue
+        ends[k] += 1
+        for j, w in enumerate(ws):
+            for slots, bit, _ in spell(w, k * 16 + lead(ws, j)):
+                for s in slots:
+                    count.setdefault(s, [0, 0])[bit] += 1
+        for a, b, ctx in parts[1:]:
+            seen[ctx] = seen.get(ctx, 0) + 1
+            after[ctx, tuple(ws[a:b])] = after.get((ctx, tuple(ws[a:b])), 0) + 1
+
+    def spelled_p(w, place, itself):
+        logp = 0.0
+        for slots, bit, partial in spell(w, place):
+            x, sure = [], []
+            for s in slots:
+                n = list(count.get(s, (0, 0)))
+                n[bit] -= itself
+                x.append(min(12, max(-12, math.log(n[1] + 0.02) - math.log(n[0] + 0.02))))
+                sure.append(min(int(math.log2(1 + n[0] + n[1])), lm.LEVELS - 1))
+            gate = sum(u > 0 for u in sure)
+            dot = model.mixer.bias[gate] + sum(model.mixer.weight[gate, o, u] * v for o, (u, v) in enumerate(zip(sure, x, strict=True)))
+            dot = min(14, max(-14, dot))
+            at = min(lm.BUCKETS - 1, max(0, round(dot * 2) + lm.BUCKETS // 2))
+            n, ones = model.mixer.hits[partial, at]
+            p = min(1 - 1e-6, max(1e-6, 0.75 / (1 + math.exp(-dot)) + 0.25 * ones / n))
+            logp += math.log10(p if bit else 1 - p)
+        return logp
+
+    out = []
+    for ws, k, parts, (i, _) in zip(tokens, kind, texts, rows, strict=True):
+        itself, own, repeats, value = int(trains(i)), {}, 0, []
+        for j, w in enumerate(ws):
+            share = (repeats + 0.5) / (j + 1) if j else 0
+            p = 10 ** spelled_p(w, k * 16 + lead(ws, j), itself)
+            value.append(math.log10((1 - share) * p + share * own.get(w, 0) / max(j, 1)))
+            repeats += w in own
+            own[w] = own.get(w, 0) + 1
+        score, hits = math.log10((ends[k] + 0.5) / (sum(ends) + 0.5 * lm.KINDS)), []
+        for n, (a, b, ctx) in enumerate(parts):
+            s, all_ = sum(value[a:b]), seen.get(ctx, 0) - itself
+            right = after.get((ctx, tuple(ws[a:b])), 0) - itself
+            hits.append(n > 0 and all_ > 0 and right > 0)
+            if n and all_ > 0:
+                run = 0 if not hits[n - 1] else 2 if n > 1 and hits[n - 2] else 1
+                p = model.hits[min(int(math.log2(all_)), lm.TIERS - 1), run]
+                s += math.log10(1 - p)
+                if right > 0:
+                    s = max(s, math.log10(p * right / all_)) + math.log10(1 + 10 ** -abs(s - math.log10(p * right / all_)))
+            score += s
+        out.append(score)
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choices([*WORDS["en"], *WORDS["fr"], *(f"name{i}" for i in range(60))], k=n))
+    rows = [(i, text(rng.randint(0, 90))) for i in range(70)] + [(100, None), (101, "one"), (102, "An averyverylongwordofmany letters " * 3)]
+    long = text(600)
+    rows += [(200, long), (201, long), (202, long), (206, text(200) + " " + long), (203, "rep " * 300), (300, rows[5][1]), (301, rows[6][1])]
+    trains = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    docs = spark.createDataFrame([(i, t, "x") for i, t in [*rows, rows[3]]], "doc_id bigint, text string, token string")
+    told = []
+    got = sorted((r.doc_id, r.score) for r in lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, told=told).collect())
+    want = sorted(zip([i for i, _ in [*rows, rows[3]]], plain_scores([*rows, rows[3]], trains, told[0]), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    for (i, a), (_, b) in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=2e-4, abs=1e-3), i
+    # What a text shares with training texts is all but free.
+    by = dict(got)
+    assert by[201] > 0.1 * 600 * -2.5
+
+
+def test_hits_learn_from_runs():
+    told = {(0, 0): (10, 1000), (0, 1): (80, 100), (0, 2): (990, 1000), (3, 0): (300, 600)}
+    p = lm.fit_hits(told)
+    assert p[0, 0] < 0.1 and p[0, 2] > 0.9 and p[0, 0] < p[3, 0] and ((p > 0) & (p < 1)).all()
+    assert np.allclose(lm.fit_hits({}), 0.5)
 
 
 def vectors(n=400, groups=8, width=24, seed=2):
