@@ -21,6 +21,8 @@ from .common import components, slices, stored
 
 #: Buckets up to this many fingerprints are compared inside a task; larger ones by shared midpoints.
 BLOCK = 2048
+#: Near copies: buckets up to this size are compared whole; of larger ones, parts of about PART rows with so many hubs.
+SMALL, HUBS, PART = 16, 2, 1024
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -253,7 +255,7 @@ def min_hashes(texts: list[str | None], words: int, count: int) -> tuple[np.ndar
 
 
 def _signed_texts(docs: DataFrame, words: int, bands: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, print, g1, g2, keys, sig) for every row: hash of its text, digest of its shingle set, a key for each band and a byte of each minimum; null without words."""
+    """(id, print, g1, g2, size, keys, sig) for every row: hash of its text, digest and size of its shingle set, a key for each band and a byte of each minimum; null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,44 +269,137 @@ def _signed_texts(docs: DataFrame, words: int, bands: int, depth: int, id_col: s
                     mixed ^= mixed >> np.uint64(29)
                 low = ((least >> np.uint64(40)) ^ (least >> np.uint64(24))).astype(np.uint8)
                 digest: list = [None] * len(texts)
-                keys, sig = list(digest), list(digest)
-                for k, (row, _, name) in enumerate(_each_set(texts, words)):
-                    digest[row], keys[row], sig[row] = np.frombuffer(name, np.int64).tolist(), mixed[k].view(np.int64), low[k].tobytes()
+                keys, sig, size = list(digest), list(digest), list(digest)
+                for k, (row, own, name) in enumerate(_each_set(texts, words)):
+                    digest[row], size[row], keys[row], sig[row] = np.frombuffer(name, np.int64).tolist(), len(own), mixed[k].view(np.int64), low[k].tobytes()
                 halves = [pa.array([d and d[h] for d in digest], pa.int64()) for h in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("p"), *halves, pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "print", "g1", "g2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("p"), *halves, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "print", "g1", "g2", "size", "keys", "sig"])
 
-    return docs.select(F.col(id_col).alias("k"), text_print(F.col(text_col)).alias("p"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, print bigint, g1 bigint, g2 bigint, keys array<bigint>, sig binary")
+    return docs.select(F.col(id_col).alias("k"), text_print(F.col(text_col)).alias("p"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, print bigint, g1 bigint, g2 bigint, size bigint, keys array<bigint>, sig binary")
 
 
-def _bucket_pairs(t: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, sig: np.ndarray, first: int, last: int, alike: int):
-    """Pairs of whole buckets, which lie next to each other, as places, and the places whose bucket has pairs further apart.
+def _heads(t: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where buckets that lie next to each other begin."""
+    return np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))) if len(t) else np.zeros(0, np.int64)
 
-    Only pairs ``first`` to ``last`` places apart, of different labels and with
-    at least ``alike`` equal bytes are given; a bucket of one label is done.
-    """
-    n = len(t)
-    head = np.ones(n, bool)
-    head[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-    begin = np.flatnonzero(head)
+
+def _pairs_apart(begin: np.ndarray, n: int, label: np.ndarray, sig: np.ndarray, first: int, last: int, alike: int) -> np.ndarray:
+    """Pairs of places of one bucket that are ``first`` to ``last`` apart, of different labels and with at least ``alike`` equal bytes."""
     size = np.diff(np.append(begin, n))
     left = np.repeat(begin + size, size) - np.arange(n)  # rows from here to the bucket's end
-    found = []
+    found = [np.zeros((2, 0), np.int64)]
     for step in range(first, min(last, int(size.max(initial=1)) - 1) + 1):
         at = np.flatnonzero(left > step)
         at = at[label[at] != label[at + step]]
         for part in np.array_split(at, len(at) // 100_000 + 1):
             found.append(np.stack([part, part + step])[:, (sig[part] == sig[part + step]).sum(1) >= alike])
-    several = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64), np.flatnonzero(np.repeat((size > last + 1) & several, size))
+    return np.concatenate(found, axis=1)
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of the (a, b) pairs of nodes whose shingle sets have the Jaccard similarity, decided in whole numbers."""
-    share = Fraction(str(similarity))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = prints.join(wanted, "node").select("node", F.col("first.id").alias("k"), "g1", "g2")
+def _hubs(sig: np.ndarray, number: int) -> np.ndarray:
+    """The rows of a bucket that come nearest to its commonest bytes."""
+    usual = np.array([np.bincount(column).argmax() for column in sig.T])
+    return np.argsort(-(sig == usual).sum(1), kind="stable")[:number]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first columns t, key and part, cut where one of these changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, key, part = (batch.column(c).to_numpy() for c in range(3))
+        edge = np.flatnonzero((t != t[-1]) | (key != key[-1]) | (part != part[-1]))
+        if len(edge):  # what came before the last bucket is whole, with what was held of its first
+            cut = int(edge[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and tuple(held[-1].column(c)[-1].as_py() for c in range(3)) != (int(t[0]), int(key[0]), int(part[0])):
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bytes_matrix(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+
+
+def _ordered(node: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    a, b = node[pair[0]], node[pair[1]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _first_candidates(members: DataFrame, alike: int) -> DataFrame:
+    """(a, b, t, key, sig, hub): pairs where t is -1, else the members of buckets that are not compared whole.
+
+    Members are (t, key, part, node, sig). A bucket's part of at most SMALL rows
+    is compared whole; of a larger one each row is paired with the part's hubs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            t, key, part, node = (rows.column(c).to_numpy() for c in ("t", "key", "part", "node"))
+            sig = _bytes_matrix(rows)
+            begin = _heads(t, key * 64 + part)
+            size = np.diff(np.append(begin, len(t)))
+            small = np.repeat(size <= SMALL, size)
+            at = np.flatnonzero(small)
+            pairs = [at[_pairs_apart(np.cumsum(size[size <= SMALL]) - size[size <= SMALL], len(at), node[at], sig[at], 1, SMALL, alike)]] if len(at) else []
+            hub = np.zeros(len(t), bool)
+            for b, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                for h in _hubs(sig[b : b + n], HUBS).tolist():
+                    hub[b + h] = True
+                    near = np.flatnonzero((sig[b : b + n] == sig[b + h]).sum(1) >= alike)
+                    near = near[near != h]
+                    pairs.append(np.stack([np.full(len(near), b + h), b + near]))
+            # A part of a bucket is never the whole of it, so its rows stay, with a hub.
+            split = np.repeat(part[begin] >= 0, size)
+            hub[begin[part[begin] >= 0]] = True
+            rest = np.flatnonzero(~small | split)
+            pair = _ordered(node, np.concatenate(pairs, axis=1)) if pairs else np.zeros((2, 0), np.int64)
+            none = np.zeros(pair.shape[1], np.int64)
+            columns = [np.concatenate(c) for c in ((pair[0], node[rest]), (pair[1], node[rest]), (none - 1, t[rest]), (none, key[rest]))]
+            marks = pa.array([None] * len(none) + [sig[i].tobytes() for i in rest.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), marks, pa.array(np.append(none > 0, hub[rest] & split[rest]))], ["a", "b", "t", "key", "sig", "hub"])
+
+    dealt = members.select("t", "key", "part", "node", "sig").repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, t int, key bigint, sig binary, hub boolean")
+
+
+def _later_candidates(members: DataFrame, first: int, last: int, alike: int, share: Fraction) -> DataFrame:
+    """(a, b, t, key, sig, size, shared): pairs of rows ``first`` to ``last`` apart where t is -1, else the members of buckets that have pairs further apart.
+
+    Members are (t, key, part, node, label, sig, size, shared); a pair's sets
+    cannot overlap in more than either shares with other sets.
+    """
+    names = ["a", "b", "t", "key", "sig", "size", "shared"]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            t, key, node, label, size, shared = (rows.column(c).to_numpy() for c in ("t", "key", "node", "label", "size", "shared"))
+            sig, begin = _bytes_matrix(rows), _heads(t, key)
+            number = np.diff(np.append(begin, len(t)))
+            a, b = _pairs_apart(begin, len(t), label, sig, first, last, alike)
+            may = np.minimum(shared[a], shared[b]) * (share.numerator + share.denominator) >= share.numerator * (size[a] + size[b])
+            pair = _ordered(node, np.stack([a[may], b[may]]))
+            several = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+            rest = np.flatnonzero(np.repeat((number > last + 1) & several, number))
+            none = np.zeros(pair.shape[1], np.int64)
+            columns = [np.concatenate(c) for c in ((pair[0], node[rest]), (pair[1], node[rest]), (none - 1, t[rest]), (none, key[rest]), (none, size[rest]), (none, shared[rest]))]
+            marks = pa.array([None] * len(none) + [sig[i].tobytes() for i in rest.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), marks, pa.array(columns[4]), pa.array(columns[5])], names)
+
+    dealt = members.select("t", "key", F.lit(-1).alias("part"), "node", "label", "sig", "size", "shared").repartition("t", "key").sortWithinPartitions("t", "key", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, t int, key bigint, sig binary, size bigint, shared bigint")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set) of the wanted (node, k, g1, g2): sorted shingle hashes of the text of row k with that digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 node, g1, g2 = (part.column(c).to_pylist() for c in ("node", "g1", "g2"))
@@ -312,6 +407,30 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
                 own = [(node[row], s.tobytes()) for row, s, name in _each_set(part.column("t").to_pylist(), words) if np.frombuffer(name, np.int64).tolist() == [g1[row], g2[row]]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["node", "set"])
 
+    texts = docs.selectExpr(f"`{id_col}` AS k", f"`{text_col}` AS t").join(wanted, "k")
+    return stored(texts.select("node", "g1", "g2", "t").mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "sets")
+
+
+def _with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with ``shared``: how many of the node's shingles another of the sets holds too. Counts combine on the map side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+            if own:
+                node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], ["shingle", "node"])
+
+    alone = sets.mapInArrow(run, "shingle bigint, node bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    return rows.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, share: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """Those of the (a, b) pairs of nodes whose shingle sets have the Jaccard similarity, decided in whole numbers."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = _sets(prints.join(wanted, "node").select("node", F.col("first.id").alias("k"), "g1", "g2"), docs, words, id_col, text_col)
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -321,8 +440,6 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
                 keep.append(both * share.denominator >= share.numerator * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.selectExpr(f"`{id_col}` AS k", f"`{text_col}` AS t").join(wanted, "k")
-    held = stored(texts.select("node", "g1", "g2", "t").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
     joined = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return joined.mapInArrow(decide, "a bigint, b bigint")
 
@@ -339,65 +456,58 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     hashes and on ``alike`` of all the minima's bytes: a pair at 0.8 is missed
     with probability (1 - 0.8^4)^20, three in 100,000, and one in ten million
     for the second test, six standard deviations off. Texts without words are
-    no near copies of any; equal sets always are. The members of a bucket are
-    compared at growing distances, those already joined no more, so a large
-    group of near copies costs about its size. A bucket's distinct members are
-    held by one task, 110 bytes each.
+    no near copies of any; equal sets always are.
+
+    Small buckets are compared whole. The rows of a larger one, dealt in parts,
+    are first compared with its hubs, those nearest to what its rows have in
+    common; parts meet through their hubs. Where that leaves a bucket with
+    several labels, rows go whose sets share too little with all other sets to
+    reach the similarity with any; the others are compared at growing distances,
+    those already joined no more. So a group that differs from a common source in
+    its own places costs about its size; the rows that remain in a bucket after
+    that, 130 bytes each, are held by one task.
     """
     docs = docs.where(F.col(id_col).isNotNull())
+    share = Fraction(str(similarity))
     of = stored(_signed_texts(docs, words, bands, depth, id_col, text_col), "prints")
-    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min(F.struct("id", "print")).alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min(F.struct("id", "print")).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     prints = stored(prints.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    members = prints.select("node", F.col("node").alias("label"), "sig", F.posexplode("keys").alias("t", "key"))
-    fields = ["a", "b", "t", "key", "sig"]
-
-    def pairs_of(first: int, last: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                t, key, node, label = (rows.column(c).to_numpy() for c in ("t", "key", "node", "label"))
-                sig = rows.column("sig").combine_chunks() if rows.column("sig").num_chunks != 1 else rows.column("sig").chunk(0)
-                sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(t), -1)
-                (a, b), more = _bucket_pairs(t, key, node, label, sig, first, last, alike)
-                pair = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-                none = np.zeros(pair.shape[1], np.int64)
-                columns = [np.concatenate(c) for c in ((pair[0], node[more]), (pair[1], node[more]), (none - 1, t[more].astype(np.int64)), (none, key[more]))]
-                marks = [None] * len(none) + [sig[i].tobytes() for i in more.tolist()]
-                return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), pa.array(marks, pa.binary())], fields)
-
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t, key = batch.column("t").to_numpy(), batch.column("key").to_numpy()
-                edge = np.flatnonzero((t != t[-1]) | (key != key[-1]))
-                if len(edge):  # what came before the last bucket is whole, with what was held of its first
-                    cut = int(edge[-1]) + 1
-                    yield told([*held, batch.slice(0, cut)])
-                    held = [batch.slice(cut)]
-                elif held and (held[-1].column("t")[-1].as_py(), held[-1].column("key")[-1].as_py()) != (int(t[0]), int(key[0])):
-                    yield told(held)
-                    held = [batch]
-                else:
-                    held.append(batch)
-            if held:
-                yield told(held)
-
-        return run
-
-    links, first, last = None, 1, 2
-    while True:
-        dealt = members.select("t", "key", "node", "label", "sig").repartition("t", "key").sortWithinPartitions("t", "key", "node")
-        found = stored(dealt.mapInArrow(pairs_of(first, last), "a bigint, b bigint, t int, key bigint, sig binary"), "near")
-        pairs = stored(found.where("t < 0").select("a", "b").distinct(), "pairs")
-        new = stored(_verified(pairs, prints, docs, words, similarity, id_col, text_col), "verified")
+    members, rest, links = prints.select("node", "sig", F.posexplode("keys").alias("t", "key")), None, None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        new = stored(_verified(stored(pairs.distinct(), "pairs"), prints, docs, words, share, id_col, text_col), "verified")
         links = new if links is None else links.unionByName(new)
-        groups = stored(components(links), "groups")
-        rest = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig")
-        if rest.isEmpty():
+        return stored(components(links), "groups")
+
+    while True:  # buckets too large for one part, then the hubs of their parts, and so on
+        hot = stored(members.groupBy("t", "key").count().where(F.col("count") > PART).select("t", "key", F.ceil(F.col("count") / PART).alias("parts")), "hot")
+        part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1)).cast("long").alias("part")
+        found = stored(_first_candidates(members.join(hot, ["t", "key"], "left").select("t", "key", part, "node", "sig"), alike), "near")
+        groups = joined(found.where("t < 0").select("a", "b"))
+        of_level = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "hub")
+        rest = of_level if rest is None else rest
+        members = of_level.where("hub").drop("hub")
+        if hot.isEmpty():
             break
-        members = rest.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "sig", "t", "key")
-        first, last = last + 1, last * 8
+
+    of_node = groups.select("node", F.col("component").alias("label"))
+    rest = rest.drop("hub").join(prints.select("node", "size"), "node").join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = stored(rest, "rest")
+    open_ = stored(rest.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least")).where("low <> high").select("t", "key", "least"), "open")
+    if not open_.isEmpty():
+        rest = stored(rest.join(open_, ["t", "key"]), "rest")
+        wanted = prints.join(rest.select("node").distinct(), "node").select("node", F.col("first.id").alias("k"), "g1", "g2")
+        rest = _with_shared(rest, _sets(wanted, docs, words, id_col, text_col))
+        members = rest.where(F.col("shared") * (share.numerator + share.denominator) >= share.numerator * (F.col("size") + F.col("least")))
+        members = stored(members.select("node", "label", "t", "key", "sig", "size", "shared"), "open-rows")
+        first, last = 1, 2
+        while not members.isEmpty():
+            found = stored(_later_candidates(members, first, last, alike, share), "near")
+            groups = joined(found.where("t < 0").select("a", "b"))
+            members = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "size", "shared")
+            members = stored(members.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "t", "key", "sig", "size", "shared"), "open-rows")
+            first, last = last + 1, last * 8
     labelled = prints.join(groups, "node", "left").select("g1", "g2", "first", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "labelled")
     smallest = labelled.groupBy("label").agg(F.min("first").alias("keeper"))
