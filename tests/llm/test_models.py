@@ -137,7 +137,7 @@ def test_spelled_probabilities_add_up_to_at_most_one():
     tokens = [bytes([a]) for a in range(33, 127)] + [lm.END]
     place, count = np.arange(len(tokens)) % 3, np.arange(1, len(tokens) + 1)
     slots, bits, owner, _ = lm.spelled(tokens, place)
-    table = np.zeros((2, int(lm._STARTS[-1])), np.float32)
+    table = np.zeros((2, int(lm.table_starts(0)[-1])), np.float32)
     for k in range(len(lm.CONTEXTS)):
         np.add.at(table, (bits, slots[k]), count[owner])
     table = lm.packed(table)
@@ -160,7 +160,7 @@ def plain_scores(rows, trains, model):
 
     def spell(w, place):
         if (w, place) not in spelled:
-            slots, bits, _, partial = lm.spelled([w], np.array([place]))
+            slots, bits, _, partial = lm.spelled([w], np.array([place]), model.less)
             spelled[w, place] = [(slots[:, b].tolist(), int(bits[b]), int(partial[b])) for b in range(len(bits))]
         return spelled[w, place]
 
