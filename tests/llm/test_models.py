@@ -140,7 +140,7 @@ def test_spelled_probabilities_add_up_to_at_most_one():
     table = np.zeros((2, int(lm.table_starts(0)[-1])), np.float32)
     for k in range(len(lm.CONTEXTS)):
         np.add.at(table, (bits, slots[k]), count[owner])
-    table = lm.packed(table)
+    table = lm.Table(lm.packed(table))
     mixer = lm.Mixer.new()
     mixer.learn(table, tokens, place, count)
     for same in range(3):
@@ -176,7 +176,7 @@ def plain_scores(rows, trains, model):
             continue
         ends[k] += 1
         for j, w in enumerate(ws):
-            for slots, bit, _ in spell(w, k * 16 + lead(ws, j)):
+            for slots, bit, _ in spell(w, k * 8 + lead(ws, j)):
                 for s in slots:
                     count.setdefault(s, [0, 0])[bit] += 1
         for a, b, ctx in parts[1:]:
@@ -190,7 +190,8 @@ def plain_scores(rows, trains, model):
             for s in slots:
                 n = list(count.get(s, (0, 0)))
                 n[bit] -= itself
-                x.append(min(12, max(-12, math.log(n[1] + 0.02) - math.log(n[0] + 0.02))))
+                odds = min(12, max(-12, math.log((n[1] + 0.02) / (n[0] + 0.02))))
+                x.append(round((odds + 12) * 4095 / 24) / 4095 * 24 - 12)
                 sure.append(min(int(math.log2(1 + n[0] + n[1])), lm.LEVELS - 1))
             gate = sum(u > 0 for u in sure)
             dot = model.mixer.bias[gate] + sum(model.mixer.weight[gate, o, u] * v for o, (u, v) in enumerate(zip(sure, x, strict=True)))
@@ -206,7 +207,7 @@ def plain_scores(rows, trains, model):
         itself, own, repeats, value = int(trains(i)), {}, 0, []
         for j, w in enumerate(ws):
             share = (repeats + 0.5) / (j + 1) if j else 0
-            p = 10 ** spelled_p(w, k * 16 + lead(ws, j), itself)
+            p = 10 ** spelled_p(w, k * 8 + lead(ws, j), itself)
             value.append(math.log10((1 - share) * p + share * own.get(w, 0) / max(j, 1)))
             repeats += w in own
             own[w] = own.get(w, 0) + 1
