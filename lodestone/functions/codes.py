@@ -79,10 +79,18 @@ def network_hosts(first: Column, prefix: Column) -> Column:
 
 
 def version_key(x: Column) -> Column:
-    """Sortable (major, minor, patch, is a release, pre-release) of ``1.2.3-beta``; missing parts are zero."""
-    number = lambda i: F.coalesce(F.regexp_extract(x, r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?", i).try_cast("int"), F.lit(0))
-    pre = F.regexp_extract(x, r"-([0-9A-Za-z.-]+)", 1)
-    return F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (pre == "").alias("release"), pre.alias("pre"))
+    """Sortable (major, minor, patch, is a release, pre-release) of ``v1.2.3-beta.4+build``; null for what is no such version.
+
+    The parts of a pre-release compare one by one: numbers as numbers and before
+    words, fewer parts before more.
+    """
+    pattern = r"^v?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+    number = lambda i: F.regexp_extract(F.trim(x), pattern, i).try_cast("bigint")
+    pre = F.regexp_extract(F.trim(x), pattern, 4)
+    is_number = lambda p: p.rlike(r"^\d+$")
+    parts = F.transform(F.split(pre, r"\."), lambda p: F.struct((~is_number(p)).alias("word"), F.when(is_number(p), p.try_cast("bigint")).alias("number"), p.alias("text")))
+    key = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (pre == "").alias("release"), F.when(pre != "", parts).otherwise(F.array()).alias("pre"))
+    return F.when(F.trim(x).rlike(pattern), key)
 
 
 def fan_percent(value: Column, full: Column) -> Column:

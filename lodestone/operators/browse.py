@@ -58,9 +58,21 @@ def standing(decisions: DataFrame, subject: str = "subject_key") -> DataFrame:
     return first_by(decisions.where("superseded_by IS NULL AND withdrawn_at IS NULL"), [subject], [F.desc("id")])
 
 
-def attention_level(kind: Column, confidence: Column) -> Column:
-    """action, review or info for a review item."""
-    return F.when(kind.isin("decision_unmatched", "ambiguous_grouping", "file_changed"), "action").when(kind.isin("suggestion", "unlinked_print") & (confidence != "low"), "review").otherwise("info")
+# Kinds of review items that ask for an action, and those that ask for a look.
+ACTION_KINDS = ("decision_unmatched", "file_changed", "unreadable_file")
+REVIEW_KINDS = ("suggested_match", "unknown_printer", "missing_file", "source_offline", "source_may_match")
+LEVELS = ("action", "review", "info")
+
+
+def attention_level(kind: Column, subject_key: Column, confidence: Column) -> Column:
+    """action, review or info for a review item.
+
+    An ambiguous grouping is only told if it comes from a generic name or a
+    nested folder, a print without a link if nothing is known of it.
+    """
+    quiet = (kind == "ambiguous_grouping") & F.coalesce(subject_key.rlike("^ambiguous:(generic|nested):"), F.lit(False)) | (kind == "unlinked_print") & F.coalesce(confidence == "none", F.lit(False))
+    asks = kind.isin(*REVIEW_KINDS, "ambiguous_grouping", "unlinked_print")
+    return F.when(kind.isin(*ACTION_KINDS), "action").when(asks & ~quiet, "review").otherwise("info")
 
 
 def overridden(automatic: DataFrame, decided: DataFrame, key: str, value: str) -> DataFrame:

@@ -74,10 +74,10 @@ def prefixes(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def in_folders(files: DataFrame, folders: DataFrame, path: str = "rel_path") -> DataFrame:
-    """Every (file, classified folder above it)."""
+def in_folders(files: DataFrame, folders: DataFrame, by: tuple[str, ...] = (), path: str = "rel_path") -> DataFrame:
+    """Every (file, classified folder above it), of the same ``by`` columns such as the root."""
     each = files.withColumn("folder", F.explode(prefixes(F.col(path))))
-    return each.join(folders.select(F.col("rel_path").alias("folder"), "class"), "folder")
+    return each.join(folders.select(*by, F.col("rel_path").alias("folder"), "class"), [*by, "folder"])
 
 
 def follow_merges(models: DataFrame, hops: int = 10) -> DataFrame:

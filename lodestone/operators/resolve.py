@@ -11,11 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import families_like
 from ..functions.text import name_key
 from .graph import components
+from .manifest import in_folders
 
 #: A block of more keys is common, not evidence.
 BLOCK_MOST = 50
+# Names of folders that tell what kind of files they hold.
+FORMAT_FOLDER = (
+    r"^(?:stls?|3mfs?|objs?|steps?|stps?|gcodes?|g-?codes?|bgcodes?|meshes|images?|imgs?|pics?|pictures?|photos?|renders?|previews?|thumbnails?"
+    r"|(?:pre-?)?supported|unsupported|supports?|lychee|chitubox|print[\s_-]*files?|files?|sources?|cad|parts?)$"
+)
 
 
 def blocked_pairs(blocks: DataFrame, most: int = BLOCK_MOST) -> DataFrame:
@@ -34,12 +41,14 @@ def common_blocks(blocks: DataFrame, most: int = BLOCK_MOST) -> DataFrame:
     return blocks.groupBy("kind", "value").agg(F.count_distinct("key").alias("keys")).where(F.col("keys") > most)
 
 
-def nodes(files: DataFrame, titles: DataFrame, objects: DataFrame, projects: DataFrame) -> DataFrame:
-    """One row a content key: title of its first place, non-generic objects, design ids, files.
+def nodes(files: DataFrame, titles: DataFrame, objects: DataFrame, projects: DataFrame, roots: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """One row a content key: title of its first place, non-generic objects, design ids, files, folders.
 
     files: id, content_key, root_id, rel_path, entry_path, role, name;
     titles: file_id, normalized, token_count, generic_score; objects: file_id,
-    name_norm, generic; projects: file_id, design_model_id.
+    name_norm, generic; projects: file_id, design_model_id; roots: id, grouping;
+    folders: root_id, rel_path, class. The top folder of a file in a root that is
+    grouped by folders is its model folder.
     """
     own = files.where("entry_path = '' AND role IN ('sliced', 'project', 'source')").withColumn("place", F.concat_ws(":", "root_id", "rel_path"))
     titled = own.join(titles.withColumnRenamed("file_id", "id"), "id", "left")
@@ -49,13 +58,29 @@ def nodes(files: DataFrame, titles: DataFrame, objects: DataFrame, projects: Dat
     named = own.select("id", "content_key").join(objects.where("NOT generic").withColumnRenamed("file_id", "id"), "id").groupBy("content_key").agg(F.array_sort(F.collect_set("name_norm")).alias("objects"))
     design = own.select("id", "content_key").join(projects.withColumnRenamed("file_id", "id"), "id").where("design_model_id IS NOT NULL").groupBy("content_key").agg(F.array_sort(F.collect_set("design_model_id")).alias("designs"))
     empty = F.array().cast("array<string>")
-    out = first.join(named, "content_key", "left").join(design, "content_key", "left")
-    return out.select(F.col("content_key").alias("key"), F.col("t.normalized").alias("title"), F.col("t.token_count").alias("token_count"), F.col("t.generic_score").alias("generic_score"), "titles", "places", "place", F.coalesce("objects", empty).alias("objects"), F.coalesce("designs", empty).alias("designs"))
+    out = first.join(named, "content_key", "left").join(design, "content_key", "left").withColumns({"model_folders": empty, "designer_folders": empty})
+    if roots is not None:
+        parts = F.split("rel_path", "/")
+        inside = own.join(roots.where("grouping = 'folders'").select(F.col("id").alias("root_id")), "root_id", "left_semi").where(F.size(parts) > 1)
+        tops = inside.groupBy("content_key").agg(F.array_sort(F.collect_set(F.concat_ws(":", "root_id", parts[0]))).alias("_m"))
+        out = out.join(tops, "content_key", "left").withColumn("model_folders", F.coalesce("_m", empty)).drop("_m")
+    if folders is not None:
+        by = in_folders(own.select("content_key", "root_id", "rel_path"), folders.where("class = 'designer'"), ("root_id",))
+        makers = by.groupBy("content_key").agg(F.array_sort(F.collect_set(name_key(F.regexp_extract("folder", "([^/]+)$", 1)))).alias("_d"))
+        out = out.join(makers, "content_key", "left").withColumn("designer_folders", F.coalesce("_d", empty)).drop("_d")
+    return out.select(F.col("content_key").alias("key"), F.col("t.normalized").alias("title"), F.col("t.token_count").alias("token_count"), F.col("t.generic_score").alias("generic_score"), "titles", "places", "place", F.coalesce("objects", empty).alias("objects"), F.coalesce("designs", empty).alias("designs"), "model_folders", "designer_folders")
 
 
 def blocks_of(nodes_: DataFrame) -> DataFrame:
     kind = lambda k, v: nodes_.select("key", F.lit(k).alias("kind"), v.alias("value"))
-    return kind("title", F.explode("titles")).unionByName(kind("objects", F.array_join("objects", "|"))).unionByName(kind("design_model_id", F.explode("designs")))
+    return kind("title", F.explode("titles")).unionByName(kind("objects", F.array_join("objects", "|"))).unionByName(kind("design_model_id", F.explode("designs"))).unionByName(kind("model_folder", F.explode("model_folders")))
+
+
+def with_lineage(pairs: DataFrame, lineage: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """Candidate pairs and those that lineage names, however many share its names; lineage: a, b."""
+    known = lambda c: nodes_.select(F.col("key").alias(c))
+    told = lineage.select("a", "b").distinct().join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").select("a", "b", F.array(F.lit("lineage")).alias("via"))
+    return pairs.unionByName(told).groupBy("a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("via")))).alias("via"))
 
 
 def title_strength(a: Column, b: Column, tokens_a: Column, generic: Column) -> Column:
@@ -71,10 +96,12 @@ def title_strength(a: Column, b: Column, tokens_a: Column, generic: Column) -> C
     return out.when((a == b) & tiny, "none").when((a == b) & generic, "weak").when(a == b, "medium").when(inside, "weak").otherwise("none")
 
 
-def evidence(pairs: DataFrame, nodes_: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
+def evidence(pairs: DataFrame, nodes_: DataFrame, lineage: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
     """Pairs with ``evidence`` (signal, grp, strength) and ``conflicts``.
 
-    lineage: a, b, signal (plate_md5 or source_file), of pairs named either way.
+    lineage: a, b, signal (plate_md5 or source_file), of pairs named either way;
+    folders: folder, status, as ``model_folders`` tells. A shared model folder
+    supports another group, a shared designer folder only explains.
     """
     a = nodes_.select(*[F.col(c).alias("a" if c == "key" else f"a_{c}") for c in nodes_.columns])
     b = nodes_.select(*[F.col(c).alias("b" if c == "key" else f"b_{c}") for c in nodes_.columns])
@@ -84,6 +111,17 @@ def evidence(pairs: DataFrame, nodes_: DataFrame, lineage: DataFrame | None = No
         rows = rows.join(told, ["a", "b"], "left")
     else:
         rows = rows.withColumn("signals", F.lit(None).cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    for side in ("a", "b"):  # nodes without folders
+        for c in ("model_folders", "designer_folders"):
+            if f"{side}_{c}" not in rows.columns:
+                rows = rows.withColumn(f"{side}_{c}", empty)
+    shared = F.get(F.array_sort(F.array_intersect("a_model_folders", "b_model_folders")), F.lit(0))
+    rows = rows.withColumn("_folder", shared)
+    if folders is not None:
+        rows = rows.join(folders.select(F.col("folder").alias("_folder"), (F.col("status") == "model_folder").alias("_sure")), "_folder", "left")
+    else:
+        rows = rows.withColumn("_sure", F.col("_folder").isNotNull())
     item = lambda signal, group, strength: F.struct(F.lit(signal).alias("signal"), F.lit(group).alias("grp"), strength.alias("strength"))
     both = lambda c: (F.size(f"a_{c}") > 0) & (F.size(f"b_{c}") > 0)
     equal, some = F.col("a_objects") == F.col("b_objects"), F.arrays_overlap("a_objects", "b_objects")
@@ -95,6 +133,8 @@ def evidence(pairs: DataFrame, nodes_: DataFrame, lineage: DataFrame | None = No
         F.when(F.array_contains("signals", "source_file"), item("source_file", "identity", F.lit("identity"))),
         F.when(both("objects") & equal, item("object_names", "internal-content", F.lit("medium"))).when(both("objects") & some, item("object_names", "internal-content", F.lit("weak"))),
         F.when(title != "none", item("title", "filename", title)),
+        F.when(F.arrays_overlap("a_designer_folders", "b_designer_folders"), item("designer_folder", "location", F.lit("weak"))),
+        F.when(F.col("_sure"), item("model_folder", "location", F.lit("medium"))),
     )
     conflicts = F.array(F.when(both("designs") & ~design, F.lit("different designs")), F.when(both("objects") & ~some, F.lit("no object in common")))
     return rows.select("a", "b", "via", F.array_compact(list_).alias("evidence"), F.array_compact(conflicts).alias("conflicts"))
@@ -236,7 +276,7 @@ def common_objects(names: DataFrame, least: int = 3) -> DataFrame:
 
 
 def folder_classes(folders: DataFrame) -> DataFrame:
-    """Adds ``class``: format, printer_family_like, designer (its name comes up under several parents) or unknown.
+    """Adds ``class``: format, printer_family_like (a short name of a family), designer (its name comes up under another parent) or unknown.
 
     folders: root_id, rel_path.
     """
@@ -244,8 +284,8 @@ def folder_classes(folders: DataFrame) -> DataFrame:
     parent = F.concat_ws(":", "root_id", F.regexp_replace("rel_path", r"/?[^/]+$", ""))
     rows = folders.withColumns({"_key": name_key(name), "_parent": parent})
     spread = rows.groupBy("_key").agg(F.count_distinct("_parent").alias("_n"))
-    kind = F.when(F.col("_key").rlike("^(stls?|3mf|obj|step|gcode|images?|pictures?|docs?)$"), "format")
-    kind = kind.when(F.col("_key").rlike(r"(printer|ender|bambu|prusa|x1c|p1s|a1mini|voron|creality)"), "printer_family_like").when(F.col("_n") > 1, "designer")
+    kind = F.when(F.lower(F.trim(name)).rlike(FORMAT_FOLDER), "format")
+    kind = kind.when(F.size(families_like(name)) > 0, "printer_family_like").when((F.col("_n") > 1) & (F.col("_key") != ""), "designer")
     return rows.join(spread, "_key").withColumn("class", kind.otherwise("unknown")).drop("_key", "_parent", "_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..operators import browse, eventlog, manifest, temporal
+from ..operators import browse, eventlog, manifest, temporal, reviews
 from ..sources import storage
 from .registry import query
 from .tables import table
@@ -235,12 +235,36 @@ def standing_decision(spark, sf_dir):
     return browse.standing(rows).select("subject_key", "id")
 
 
-@query("attention_counts", """
-SELECT lvl AS level, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('error') THEN 'action' WHEN event_type = 'purchase' AND value >= 10 THEN 'review' ELSE 'info' END AS lvl FROM events) GROUP BY 1""")
+_KINDS = ("decision_unmatched", "file_changed", "unreadable_file", "suggested_match", "unknown_printer", "missing_file", "source_offline", "source_may_match", "ambiguous_grouping", "unlinked_print", "folder_disagrees", "possible_duplicate", "empty_model")
+_ITEMS = f"""SELECT event_id, list_extract({list(_KINDS)}, event_id % 13 + 1) AS kind,
+  CASE event_id // 13 % 3 WHEN 0 THEN 'ambiguous:generic:' || event_id WHEN 1 THEN 'ambiguous:nested:' || event_id ELSE 'ambiguous:file:' || event_id END AS subject_key,
+  CASE WHEN event_id // 13 % 2 = 0 THEN 'none' ELSE 'low' END AS confidence, user_id AS model FROM events"""
+_LEVELS = f"""
+SELECT i.*, CASE WHEN l.level IS NOT NULL THEN l.level
+  WHEN kind = 'ambiguous_grouping' THEN CASE WHEN split_part(subject_key, ':', 2) IN ('generic', 'nested') THEN 'info' ELSE 'review' END
+  WHEN kind = 'unlinked_print' THEN CASE WHEN confidence = 'none' THEN 'info' ELSE 'review' END ELSE 'info' END AS level
+FROM ({_ITEMS}) i LEFT JOIN (VALUES ('decision_unmatched', 'action'), ('file_changed', 'action'), ('unreadable_file', 'action'), ('suggested_match', 'review'), ('unknown_printer', 'review'),
+  ('missing_file', 'review'), ('source_offline', 'review'), ('source_may_match', 'review')) l(kind, level) USING (kind)"""
+
+
+def _items(spark, sf_dir):
+    id_ = F.col("event_id")
+    group = F.floor(id_ / 13)
+    key = F.concat(F.when(group % 3 == 0, "ambiguous:generic:").when(group % 3 == 1, "ambiguous:nested:").otherwise("ambiguous:file:"), id_.cast("string"))
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (id_ % 13).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), key.alias("subject_key"), F.when(group % 2 == 0, "none").otherwise("low").alias("confidence"), F.col("user_id").alias("model"))
+    return rows.withColumn("level", browse.attention_level(F.col("kind"), F.col("subject_key"), F.col("confidence")))
+
+
+@query("attention_counts", f"SELECT level, kind, count(*) AS n FROM ({_LEVELS}) GROUP BY 1, 2")
 def attention_counts(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "error", "file_changed").when(F.col("event_type") == "purchase", "suggestion").otherwise("other")
-    level = browse.attention_level(kind, F.when(F.col("value") < 10, "low").otherwise("high"))
-    return table(spark, sf_dir, "events").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    return _items(spark, sf_dir).groupBy("level", "kind").agg(F.count("*").alias("n"))
+
+
+@query("worst_level_per_model", f"""
+SELECT model, CASE min(CASE level WHEN 'action' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) WHEN 0 THEN 'action' WHEN 1 THEN 'review' ELSE 'info' END AS level FROM ({_LEVELS}) WHERE kind <> 'file_changed' OR event_id % 5 = 0 GROUP BY 1""")
+def worst_level_per_model(spark, sf_dir):
+    return reviews.worst_levels(_items(spark, sf_dir).where((F.col("kind") != "file_changed") | (F.col("event_id") % 5 == 0)), "model")
 
 
 @query("recursive_merge_chain", """

@@ -40,9 +40,14 @@ def durations_and_text(spark, sf_dir):
 
 
 @query("version_order", """
-SELECT a.p_partkey AS a, (a.p_size, a.p_partkey % 7) > (b.p_size, b.p_partkey % 7) AS newer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+WITH v AS (SELECT p_partkey, p_size % 2 AS minor, p_partkey % 5 AS kind, p_size AS n FROM part),
+k AS (SELECT p_partkey, (minor, CASE kind WHEN 0 THEN 9 ELSE 1 END, CASE kind WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END, CASE kind WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 0 END, CASE WHEN kind IN (1, 3) THEN n ELSE 0 END) AS k FROM v)
+SELECT a.p_partkey AS a, a.k > b.k AS newer FROM k a JOIN k b ON b.p_partkey = a.p_partkey + 1""")
 def version_order(spark, sf_dir):
-    version = F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    """Versions of one minor number: 1.0.0 after 1.0.0-rc, that after 1.0.0-beta.10, beta.2 and beta, and these after 1.0.0-7."""
+    n, minor = F.col("p_size").cast("string"), (F.col("p_size") % 2).cast("string")
+    pre = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("-"), n)).when(F.col("p_partkey") % 5 == 2, "-beta").when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("-beta."), n)).otherwise("-rc")
+    version = F.concat(F.lit("v1."), minor, F.lit(".0"), pre)
     rows = table(spark, sf_dir, "part").select("p_partkey", codes.version_key(version).alias("v"))
     after = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("v").alias("w"))
     return rows.join(after, "p_partkey").select(F.col("p_partkey").alias("a"), (F.col("v") > F.col("w")).alias("newer"))
@@ -85,13 +90,51 @@ def generic_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", titles.generic_object(name).alias("why"))
 
 
-@query("family_by_label", """
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'bambu-x1' WHEN 1 THEN 'ender-3' WHEN 2 THEN NULL ELSE 'prusa-mk4' END AS family, CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'none' ELSE 'medium' END AS confidence FROM part""")
+#: Model, settings, compatible printers and code of files, and what they tell: family, brand, confidence, method, conflict.
+_FILES = (
+    ("Bambu Lab P2S", "", "", "N7", "bambu-p2s", "Bambu Lab", "high", "model_code", False),
+    ("Creality K1C", "Creality K1C 0.4 nozzle", "", "", "creality-k1c", "Creality", "high", "model+settings", False),
+    ("Creality_K1 Max", "", "", "", None, "Creality", "low", "brand_only", False),
+    ("Creality K1 SE", "", "", "", None, "Creality", "low", "brand_only", False),
+    ("Creality K1", "", "", "", "creality-k1", "Creality", "high", "model", False),
+    ("Creality Ender-3 V3 KE", "Creality Ender-3 V3 Plus", "", "", "creality-ender3-v3-ke", "Creality", "medium", "model_contradicted", True),
+    ("Generic Klipper Printer", "0.20mm Standard @Creality Ender-3 V3 Plus", "", "", "creality-ender3-v3-plus", "Creality", "medium", "settings", False),
+    ("My Klipper K1C", "", "Flashforge AD5X", "", "flashforge-ad5x", "FlashForge", "medium", "settings", False),
+    ("Flashforge Adventurer 5M Pro", "", "Flashforge Adventurer 5M", "", "flashforge-5m-pro", "FlashForge", "medium", "model_contradicted", True),
+    ("Snapmaker U1", "", "", "X9", "snapmaker-u1", "SnapMaker", "high", "model", False),
+    ("", "SPARKX i7 or P2S", "", "", None, None, "low", "none", False),
+    ("Generic", "", "K1C;AD5X", "", None, None, "low", "none", True),
+    ("", " ", "", "", None, None, None, None, False),
+)
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else f"'{value}'"
+
+
+@query("family_by_label", f"""
+SELECT p_partkey, family, brand, confidence, method, conflict FROM part JOIN (VALUES {', '.join(f"({i}, {', '.join(map(_sql, f[4:]))})" for i, f in enumerate(_FILES))}) t(i, family, brand, confidence, method, conflict) ON p_partkey % {len(_FILES)} = i""")
 def family_by_label(spark, sf_dir):
-    label = F.element_at(F.array(F.lit("Bambu X1C"), F.lit("Creality Ender-3"), F.lit("?"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    settings = F.when(F.col("p_partkey") % 4 == 3, "0.20mm MK4 profile").otherwise("")
-    found = table(spark, sf_dir, "part").select("p_partkey", identity.identify_file(label, settings, F.lit("")).alias("x"))
-    return found.select("p_partkey", "x.family", "x.confidence")
+    told = [F.get(F.array(*[F.lit(f[k]) for f in _FILES]), (F.col("p_partkey") % len(_FILES)).cast("int")) for k in range(4)]
+    return table(spark, sf_dir, "part").select("p_partkey", identity.identify_file(*told).alias("x")).select("p_partkey", "x.family", "x.brand", "x.confidence", "x.method", "x.conflict")
+
+
+@query("printer_fit", """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'model_mismatch' WHEN 2 THEN 'brand_mismatch' ELSE 'unknown' END AS status, p_partkey % 5 IN (0, 1) AND p_size % 2 = 0 OR p_partkey % 5 = 2 AS confident,
+  CASE p_partkey % 5 WHEN 0 THEN 'connector' WHEN 1 THEN 'detected_model' WHEN 2 THEN 'reported_model' END AS method FROM part""")
+def printer_fit(spark, sf_dir):
+    of = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % 5).cast("int"))
+    printer = identity.identify_printer(of("creality-k1c", "other", None, None, None), of(None, "Creality K1", "?", "", None), of("AD5X", None, "Flashforge AD5X", "K1C and AD5X", None), of(None, None, None, "Creality", None))
+    rows = table(spark, sf_dir, "part").select("p_partkey", printer.alias("p"), F.when(F.col("p_size") % 2 == 0, "high").otherwise("medium").alias("sure"))
+    fit = identity.fits(F.lit("creality-k1c"), F.lit("Creality"), F.col("sure"), F.col("p.key"), F.col("p.brand"))
+    return rows.select("p_partkey", fit.alias("f"), "p.method").select("p_partkey", "f.status", "f.confident", "method")
+
+
+@query("families_like_name", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'creality-k1c' WHEN 1 THEN 'flashforge-5m,flashforge-5m-pro' WHEN 2 THEN 'flashforge-5m-pro' WHEN 3 THEN 'creality-ender3-v3-ke,creality-ender3-v3-plus' ELSE '' END AS families FROM part""")
+def families_like_name(spark, sf_dir):
+    name = F.get(F.array(*[F.lit(v) for v in ("K1 C", "5m", "5M_Pro", "v3", "Pro", "3")]), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(identity.families_like(name)), ",").alias("families"))
 
 
 @query("title_rules")

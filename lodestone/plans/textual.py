@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, resolve, search
+from ..operators import graph, lineage, resolve, search
 from .registry import query
 from .tables import table
 
@@ -157,17 +158,19 @@ def set_equality_join(spark, sf_dir):
 
 
 @query("name_join_uniqueness", """
-SELECT p_partkey, s_suppkey, n = 1 AS sure FROM (SELECT p_partkey, s_suppkey, count(*) OVER (PARTITION BY p_partkey) AS n FROM part JOIN supplier ON lower(right(p_brand, 1)) = lower(right(s_name, 1)) AND p_partkey % 50 = 0 AND s_suppkey < 12)""")
+SELECT a, b, n = 1 AS sure FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) OVER (PARTITION BY x.p_partkey) AS n FROM part x
+  JOIN part y ON lower(x.p_name || ' ' || x.p_partkey // 3) = lower(y.p_name || ' ' || y.p_partkey // 3) AND x.p_partkey <> y.p_partkey)""")
 def name_join_uniqueness(spark, sf_dir):
-    from pyspark.sql import Window
-
-    a = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select("p_partkey", F.lower(F.right("p_brand", F.lit(1))).alias("k"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select("s_suppkey", F.lower(F.right("s_name", F.lit(1))).alias("k"))
-    return a.join(b, "k").select("p_partkey", "s_suppkey", (F.count("*").over(Window.partitionBy("p_partkey")) == 1).alias("sure"))
+    name = F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 3).cast("string"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return lineage.named_files(files.select("id", F.upper("name").alias("name")), files).select(F.col("id").alias("a"), F.col("hit").alias("b"), (F.col("hits") == 1).alias("sure"))
 
 
 @query("placeholder_mismatches", r"""
-SELECT doc_id FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '([0-9]+)', 1))) AS a, list_sort(list_distinct(regexp_extract_all(substr(text, 1, 200), '([0-9]+)', 1))) AS b FROM documents) WHERE a <> b""")
+SELECT conv_id, turn FROM (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '([0-9]+)', 1))) AS a,
+  list_sort(list_distinct(regexp_extract_all(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '([0-9]+)', 1))) AS b FROM conversations) WHERE b IS NOT NULL AND a <> b""")
 def placeholder_mismatches(spark, sf_dir):
+    """Neighbouring turns as two wordings of one message, numbers as their placeholders."""
     braces = lambda c: text.placeholders(F.regexp_replace(c, r"([0-9]+)", "{$1}"))
-    return table(spark, sf_dir, "documents").where(braces(F.col("text")) != braces(F.substring("text", 1, 200))).select("doc_id")
+    rows = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    return rows.where("next IS NOT NULL").where(braces(F.col("text")) != braces(F.col("next"))).select("conv_id", "turn")

@@ -21,10 +21,15 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("name", "want"),
     [
-        ("2x TinyTREX (5h11m, 3.25$, 102g).gcode", "tinytrex"),
-        ("[CP] Red Dragon_PLA_3h55m.gcode.3mf", "red dragon"),
-        ("Rose Vase (Green-White).stl", "rose vase"),
-        ("Box - Plate 3 @190.gcode", "box"),
+        ("3x Lampion (2h05m, 4.10$, 88g).gcode", "lampion"),
+        ("[AB] Paper Crane_PETG_1h20m.gcode.3mf", "paper crane"),
+        ("Tea Light (Gold-Black).stl", "tea light"),
+        ("Tea Light (spare, 12g (2)).stl", "tea light spare"),
+        ("Crate - Plate 2 @215.gcode", "crate"),
+        ("Fox - red-white-black.3mf", "fox"),
+        ("Gear 7_4h10m_PLA.gcode", "gear 7"),
+        ("Owl R12g B7g.gcode", "owl"),
+        ("x4 bracket.stl", "bracket"),
         ("", ""),
     ],
 )
@@ -33,10 +38,11 @@ def test_titles(name, want):
 
 
 def test_title_records_and_display(spark):
-    found = titles.normalise("Flexi Factory Skeleton (3 Colors (Macaron), 25h47m).3mf", ("Flexi Factory",))
-    assert ("designer", "Flexi Factory") in found["removed"] and found["normalized"].startswith("skeleton")
-    row = titles.with_titles(spark.createDataFrame([("2x TinyTREX (5h11m, 102g).gcode",)], "name string"), "name").first().title
-    assert (row.display, row.normalized, row.generic_score) == ("TinyTREX", "tinytrex", 0.0)
+    found = titles.normalise("Nora Lind Heron (2 Colors (Teal), 9h30m).3mf", ("Nora Lind",))
+    assert ("designer", "Nora Lind") in found["removed"] and found["normalized"].startswith("heron")
+    row = titles.with_titles(spark.createDataFrame([("2x PaperKite (1h11m, 52g).gcode",)], "name string"), "name").first().title
+    assert (row.display, row.normalized, row.generic_score) == ("PaperKite", "paperkite", 0.0)
+    assert titles.display_noise_only(titles.normalise("3x The Plate 1 (12g).gcode")) == "The Plate 1"
     assert titles.normalise("plate box")["generic_score"] == 1.0
 
 
@@ -71,7 +77,9 @@ def test_code_expressions(spark):
     assert one(spark, codes.ip_text(codes.ip_number(c)), v="10.1.2.255") == "10.1.2.255"
     assert one(spark, codes.mask_length(c), v="255.255.252.0") == 22
     assert len(one(spark, codes.network_hosts(codes.ip_number(c), F.lit(29)), v="10.0.0.9")) == 6
-    assert one(spark, codes.version_key(F.lit("1.10")) > codes.version_key(c), v="1.9.9") is True
+    assert one(spark, codes.version_key(F.lit("1.10")) > codes.version_key(c), v="1.9.9") is None
+    assert one(spark, codes.version_key(F.lit("1.0.0-beta.10")) > codes.version_key(c), v="1.0.0-beta.2") is True
+    assert one(spark, codes.version_key(F.lit("1.0.0-beta")) < codes.version_key(c), v="v1.0.0-beta.2+b7") is True
     assert one(spark, codes.version_key(F.lit("1.0.0")) > codes.version_key(c), v="1.0.0-beta") is True
     assert one(spark, codes.floor_percentile(c, 0.9), v=[5, 1, 4, 2, 3]) == 5
     assert one(spark, codes.duration_text(c), v=7380) == "2h 3m"
@@ -80,10 +88,10 @@ def test_code_expressions(spark):
 
 
 def test_identity(spark):
-    got = one(spark, identity.identify_file(F.col("m"), F.col("s"), F.lit("OrcaSlicer")), m="Bambu Lab X1 Carbon", s="0.20mm A1 mini")
-    assert (got.family, got.confidence, got.basis) == ("bambu-x1", "low", "conflict")
-    assert one(spark, identity.family_of(F.col("m")), m="X1C or A1") is None
-    assert one(spark, identity.fits(F.lit(None).cast("string"), F.lit("bambu"), F.lit("voron"), F.col("b")), b="voron") == "mismatch"
+    got = one(spark, identity.identify_file(F.col("m"), F.col("s"), F.lit(""), F.lit("")), m="Creality K1C", s="0.20mm P2S")
+    assert (got.family, got.confidence, got.method, got.conflict) == ("creality-k1c", "medium", "model_contradicted", True)
+    assert one(spark, identity.family_of(F.col("m")), m="K1C or P2S") is None
+    assert one(spark, identity.fits(F.lit(None).cast("string"), F.lit("Creality"), F.lit("high"), F.lit("bambu-p2s"), F.col("b")), b="Bambu Lab").status == "brand_mismatch"
 
 
 def test_search_needs_every_word_or_the_join(spark):

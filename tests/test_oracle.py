@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.plans import ordered, registry, relational, scalars, textual  # noqa: F401
+from lodestone.plans import catalogue, ordered, registry, relational, scalars, textual  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def plain(frame: pd.DataFrame) -> list:
             x = x.tolist()
         if isinstance(x, list):
             return str([value(y) for y in x])
-        if x is None or x != x or x is pd.NA:
+        if x is None or x is pd.NA or x != x:
             return "null"
         return f"{x:.9g}" if isinstance(x, float) else str(x)
 
