@@ -23,6 +23,8 @@ from .common import components, slices, stored
 BLOCK = 2048
 #: Near copies: buckets up to this size are compared whole; of larger ones, parts of about PART rows with so many hubs.
 SMALL, HUBS, PART = 16, 2, 1024
+#: Near copies: most sets that hold a rare shingle.
+RARE = 8
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -370,30 +372,30 @@ def _first_candidates(members: DataFrame, alike: int) -> DataFrame:
 
 
 def _later_candidates(members: DataFrame, first: int, last: int, alike: int, share: Fraction) -> DataFrame:
-    """(a, b, t, key, sig, size, shared): pairs of rows ``first`` to ``last`` apart where t is -1, else the members of buckets that have pairs further apart.
+    """(a, b, t, key, sig, size, common): pairs of rows ``first`` to ``last`` apart where t is -1, else the members of buckets that have pairs further apart.
 
-    Members are (t, key, part, node, label, sig, size, shared); a pair's sets
-    cannot overlap in more than either shares with other sets.
+    Members are (t, key, part, node, label, sig, size, common); pairs that
+    share no rare shingle cannot overlap in more than either has of common ones.
     """
-    names = ["a", "b", "t", "key", "sig", "size", "shared"]
+    names = ["a", "b", "t", "key", "sig", "size", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
-            t, key, node, label, size, shared = (rows.column(c).to_numpy() for c in ("t", "key", "node", "label", "size", "shared"))
+            t, key, node, label, size, common = (rows.column(c).to_numpy() for c in ("t", "key", "node", "label", "size", "common"))
             sig, begin = _bytes_matrix(rows), _heads(t, key)
             number = np.diff(np.append(begin, len(t)))
             a, b = _pairs_apart(begin, len(t), label, sig, first, last, alike)
-            may = np.minimum(shared[a], shared[b]) * (share.numerator + share.denominator) >= share.numerator * (size[a] + size[b])
+            may = np.minimum(common[a], common[b]) * (share.numerator + share.denominator) >= share.numerator * (size[a] + size[b])
             pair = _ordered(node, np.stack([a[may], b[may]]))
             several = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
             rest = np.flatnonzero(np.repeat((number > last + 1) & several, number))
             none = np.zeros(pair.shape[1], np.int64)
-            columns = [np.concatenate(c) for c in ((pair[0], node[rest]), (pair[1], node[rest]), (none - 1, t[rest]), (none, key[rest]), (none, size[rest]), (none, shared[rest]))]
+            columns = [np.concatenate(c) for c in ((pair[0], node[rest]), (pair[1], node[rest]), (none - 1, t[rest]), (none, key[rest]), (none, size[rest]), (none, common[rest]))]
             marks = pa.array([None] * len(none) + [sig[i].tobytes() for i in rest.tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), marks, pa.array(columns[4]), pa.array(columns[5])], names)
 
-    dealt = members.select("t", "key", F.lit(-1).alias("part"), "node", "label", "sig", "size", "shared").repartition("t", "key").sortWithinPartitions("t", "key", "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint, t int, key bigint, sig binary, size bigint, shared bigint")
+    dealt = members.select("t", "key", F.lit(-1).alias("part"), "node", "label", "sig", "size", "common").repartition("t", "key").sortWithinPartitions("t", "key", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, t int, key bigint, sig binary, size bigint, common bigint")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -411,8 +413,8 @@ def _sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
     return stored(texts.select("node", "g1", "g2", "t").mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "sets")
 
 
-def _with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows with ``shared``: how many of the node's shingles another of the sets holds too. Counts combine on the map side."""
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(shingle, node) of all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,9 +423,27 @@ def _with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], ["shingle", "node"])
 
-    alone = sets.mapInArrow(run, "shingle bigint, node bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    return rows.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return sets.mapInArrow(run, "shingle bigint, node bigint")
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, share: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes with different labels that may reach the similarity with a rare shingle in common; and the nodes with ``common``.
+
+    nodes: node, label, size. A shingle is rare if 2 to RARE sets hold it, so a
+    set has a bounded number of such partners; ``common`` counts a node's
+    shingles that more sets hold. Sets that share no rare shingle overlap in at
+    most the fewer common ones; those that share r of them in r more.
+    """
+    every = stored(_shingles(sets), "shingles")
+    held = stored(every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    common = every.join(held.where(F.col("n") > RARE), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    nodes = stored(nodes.join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0))), "with-common")
+    rare = stored(every.join(held.where(F.col("n") <= RARE), "shingle").select("shingle", "node"), "rare")
+    met = rare.select("shingle", F.col("node").alias("a")).join(rare.select("shingle", F.col("node").alias("b")), "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("r"))
+    of = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "size", "common")])
+    rows = met.join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label")
+    reach = F.least("a_common", "b_common") + F.col("r")
+    return rows.where(reach * (share.numerator + share.denominator) >= share.numerator * (F.col("a_size") + F.col("b_size"))).select("a", "b"), nodes
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, share: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -461,11 +481,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     Small buckets are compared whole. The rows of a larger one, dealt in parts,
     are first compared with its hubs, those nearest to what its rows have in
     common; parts meet through their hubs. Where that leaves a bucket with
-    several labels, rows go whose sets share too little with all other sets to
-    reach the similarity with any; the others are compared at growing distances,
-    those already joined no more. So a group that differs from a common source in
-    its own places costs about its size; the rows that remain in a bucket after
-    that, 130 bytes each, are held by one task.
+    several labels, its rows meet by the shingles that few sets hold; what shares
+    none of those is compared at growing distances if both have enough common
+    shingles for the similarity. No link is lost by this, and a group that differs
+    from a common source in places of its own costs about its size; the rows that
+    remain in a bucket to the last, 130 bytes each, are held by one task.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     share = Fraction(str(similarity))
@@ -480,33 +500,43 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         links = new if links is None else links.unionByName(new)
         return stored(components(links), "groups")
 
+    pairs = None
     while True:  # buckets too large for one part, then the hubs of their parts, and so on
         hot = stored(members.groupBy("t", "key").count().where(F.col("count") > PART).select("t", "key", F.ceil(F.col("count") / PART).alias("parts")), "hot")
         part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1)).cast("long").alias("part")
         found = stored(_first_candidates(members.join(hot, ["t", "key"], "left").select("t", "key", part, "node", "sig"), alike), "near")
-        groups = joined(found.where("t < 0").select("a", "b"))
+        near = found.where("t < 0").select("a", "b")
+        pairs = near if pairs is None else pairs.unionByName(near)
         of_level = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "hub")
         rest = of_level if rest is None else rest
         members = of_level.where("hub").drop("hub")
         if hot.isEmpty():
             break
+    groups = joined(pairs)
 
-    of_node = groups.select("node", F.col("component").alias("label"))
-    rest = rest.drop("hub").join(prints.select("node", "size"), "node").join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = stored(rest, "rest")
-    open_ = stored(rest.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least")).where("low <> high").select("t", "key", "least"), "open")
+    label = F.coalesce("component", "node").alias("label")
+    rest = stored(rest.drop("hub").join(groups, "node", "left").select("node", label, "t", "key", "sig"), "rest")
+    open_ = stored(rest.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "key"), "open")
     if not open_.isEmpty():
         rest = stored(rest.join(open_, ["t", "key"]), "rest")
-        wanted = prints.join(rest.select("node").distinct(), "node").select("node", F.col("first.id").alias("k"), "g1", "g2")
-        rest = _with_shared(rest, _sets(wanted, docs, words, id_col, text_col))
-        members = rest.where(F.col("shared") * (share.numerator + share.denominator) >= share.numerator * (F.col("size") + F.col("least")))
-        members = stored(members.select("node", "label", "t", "key", "sig", "size", "shared"), "open-rows")
+        nodes = prints.join(rest.select("node", "label").distinct(), "node").select("node", "label", "size", F.col("first.id").alias("k"), "g1", "g2")
+        nodes = stored(nodes, "nodes")
+        more, nodes = _by_rare_shingles(nodes.select("node", "label", "size"), _sets(nodes.select("node", "k", "g1", "g2"), docs, words, id_col, text_col), share)
+        groups = joined(more)
+        # Only what has enough common shingles for the similarity with the smallest of its bucket.
+        members = rest.select("node", "t", "key", "sig").join(nodes.select("node", "size", "common"), "node").join(groups, "node", "left").select("node", label, "t", "key", "sig", "size", "common")
+        enough = F.col("common") * (share.numerator + share.denominator) >= share.numerator * (F.col("size") + F.col("least"))
+        members = stored(members, "open-rows")
+        least = members.groupBy("t", "key").agg(F.min("size").alias("least"))
+        members = stored(members.join(least, ["t", "key"]).where(enough).drop("least"), "open-rows")
+        several = members.groupBy("t", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "key")
+        members = stored(members.join(several, ["t", "key"]), "open-rows")
         first, last = 1, 2
         while not members.isEmpty():
             found = stored(_later_candidates(members, first, last, alike, share), "near")
             groups = joined(found.where("t < 0").select("a", "b"))
-            members = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "size", "shared")
-            members = stored(members.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "t", "key", "sig", "size", "shared"), "open-rows")
+            members = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "size", "common")
+            members = stored(members.join(groups, "node", "left").select("node", label, "t", "key", "sig", "size", "common"), "open-rows")
             first, last = last + 1, last * 8
     labelled = prints.join(groups, "node", "left").select("g1", "g2", "first", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "labelled")

@@ -199,3 +199,32 @@ def test_shard_files(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/s")
     assert back.count() == 200 and back.select("__shard").distinct().count() == found.select("shard").distinct().count()
     assert back.where("_shard = 1").count() == 200
+
+
+def test_a_large_group_of_near_copies_against_brute_force(spark, monkeypatch):
+    """Texts that differ from one source in places of their own, and from each other in places that a few share."""
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "PART", 30)
+    rng = random.Random(12)
+    source = [f"s{i}" for i in range(120)]
+    rows, made = [(0, list(source))], 0
+    for i in range(1, 150):
+        own = list(rng.choice([source, source, rows[-1][1], rng.choice(rows)[1]]))
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(400)}"
+        if i % 9 == 0:
+            own = own[: rng.randrange(80, 120)]
+        rows.append((i, own))
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(rows))}
+    assert 5 < len(set(want.values())) < 140
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == want
