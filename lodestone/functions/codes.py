@@ -125,3 +125,35 @@ def picture_kind(head: Column) -> Column:
     """png, jpeg, gif or webp by the first bytes, else null."""
     digits = F.hex(F.substring(head, 1, 12))
     return F.when(digits.startswith("89504E470D0A1A0A"), "png").when(digits.startswith("FFD8FF"), "jpeg").when(digits.startswith("47494638"), "gif").when(digits.startswith("52494646") & (F.substring(digits, 17, 8) == "57454250"), "webp")
+
+
+# What marks settings that blend filaments, and values that mean none.
+BLEND_KEYS = ("pathblend_", "colorstitch", "penultimate_multipass_", "interlayer_colormix_")
+NO_BLEND = ("", '""', "[]", "nil", "null", "0")
+
+
+def blend_kind(config: Column) -> Column:
+    """ratdoux or neotko where a map of settings blends filaments into further colours, else null."""
+    mixed = F.lower(F.trim(F.try_element_at(config, F.lit("mixed_filament_definitions"))))
+    starts = F.exists(F.map_keys(config), lambda k: F.greatest(*[k.startswith(p).cast("int") for p in BLEND_KEYS]) == 1)
+    return F.when(mixed.isNotNull() & ~mixed.isin(*NO_BLEND), "ratdoux").when(starts, "neotko")
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two folders are the same or one holds the other."""
+    x, y = (F.concat(F.regexp_replace(c, "/+$", ""), F.lit("/")) for c in (a, b))
+    return x.startswith(y) | y.startswith(x)
+
+
+def simulated(phase: Column, started: Column, duration: Column, paused_at: Column, now: Column) -> Column:
+    """(progress, phase) of a simulated job at a time: a function of time alone."""
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (now - started) / duration))
+    item = lambda p, name: F.struct(p.cast("double").alias("progress"), name.alias("phase"))
+    held = phase.isin("paused", "cancelled", "error")
+    return F.when(phase == "printing", item(part, F.when(part >= 1, "complete").otherwise("printing"))).when(held, item(paused_at, phase)).when(phase == "complete", item(F.lit(1.0), phase)).otherwise(item(F.lit(0.0), F.lit("idle")))
+
+
+def webhook_message(printer: Column, event: Column, message: Column, progress: Column, filename: Column, at: Column) -> Column:
+    """The JSON that a receiver of events gets; nothing is sent from here."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.to_json(F.struct(text(printer).alias("printer"), text(event).alias("event"), text(message).alias("message"), progress.alias("progress"), F.when(filename != "", filename).alias("filename"), at.alias("ts")), {"ignoreNullFields": "false"})

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def keyset_page(rows: DataFrame, sort: str, key: str, size: int, after: tuple | None = None, descending: bool = False) -> DataFrame:
     """The ``size`` rows after (sort, key), and one more, by which the caller knows that there is a next page."""
@@ -84,3 +86,20 @@ def overridden(automatic: DataFrame, decided: DataFrame, key: str, value: str) -
 def most_common(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Each group's most frequent value, ties to the smallest."""
     return first_by(rows.groupBy(group, value).agg(F.count("*").alias("n")), [group], [F.desc("n"), F.col(value)])
+
+
+def floor_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, a column for each share, most): the element floor(share * n) of a group's sorted values, the last at most.
+
+    Values are counted, dealt to tasks by range and written; sums by range tell
+    where a rank lies, so no group is sorted by one task. Nulls do not count.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    ranged = written(counted.repartitionByRange(group, value).withColumn("_range", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(group, "_range").agg(F.sum("c").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_range")  # a row a range
+    sums = sums.select(group, "_range", (F.sum("_c").over(before) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(group)).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(group, "_range").orderBy(value))
+    placed = ranged.withColumn("_upto", upto).join(sums, [group, "_range"])
+    at = lambda p: F.min(F.when(F.col("_before") + F.col("_upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
+    return placed.groupBy(group).agg(F.max("n").alias("n"), *[at(p).alias(name) for name, p in shares.items()], F.max(value).alias("most"))

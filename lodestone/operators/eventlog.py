@@ -53,3 +53,20 @@ def visible(rows: DataFrame, groups: list[str], admin: bool = False, column: str
     if admin:
         return rows
     return rows.where(F.arrays_overlap(F.coalesce(F.col(column), F.array(F.lit(default))), F.array(*[F.lit(g) for g in groups]) if groups else F.array().cast("array<string>")))
+
+
+def diagnostics(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """One row: the number of rows, a map of counts for each key (null as (none)), and how many rows meet each flag.
+
+    All histograms come from one pass: rows are counted by (key, value) before they meet.
+    """
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.col(k).cast("string"), F.lit("(none)")).alias("v")) for k in keys])).alias("x"))
+    counted = each.groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+    one = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("v", "n"))))).alias(k)
+    flagged = rows.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+    return counted.agg(*[one(k) for k in keys]).crossJoin(F.broadcast(flagged))  # one row each
+
+
+def idle_since(probes: DataFrame, key: str, at: str, now: Column, limit: Column) -> DataFrame:
+    """Keys whose last probe is longer ago than the limit: connections to drop."""
+    return probes.groupBy(key).agg(F.max(at).alias(at)).where(now - F.col(at) > limit)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY_MOST = 20
@@ -98,3 +99,22 @@ def balanced(printers: DataFrame) -> DataFrame:
         return pd.DataFrame(moved, columns=["item", "from_printer", "to_printer"])
 
     return printers.groupBy("pool").applyInPandas(share, "item string, from_printer string, to_printer string")
+
+
+def claims(printers: DataFrame) -> DataFrame:
+    """(printer_id, item): the item each printer's queue hands out in a round, at most one and only if it may.
+
+    printers: printer_id, state, paused, stopped, queue array<string> (oldest
+    first). A printer has one row, so two claims of an item cannot both win.
+    """
+    may = (F.col("state") == "idle") & ~F.col("paused") & ~F.col("stopped") & (F.size("queue") > 0)
+    return printers.where(may).select("printer_id", F.col("queue")[0].alias("item"))
+
+
+def bulk_applied(queues: DataFrame, wanted: DataFrame) -> DataFrame:
+    """queues after one transaction over several printers: all of ``wanted`` (printer_id, queue) or, if one of them is unknown or busy, none."""
+    known = queues.where("state <> 'dispatching'").select("printer_id")
+    refused = wanted.join(known, "printer_id", "left_anti").agg((F.count("*") > 0).alias("_no"))
+    new = wanted.select("printer_id", F.col("queue").alias("_q"))
+    rows = queues.join(new, "printer_id", "left").crossJoin(F.broadcast(refused))  # one row
+    return rows.withColumn("queue", F.when(~F.col("_no") & F.col("_q").isNotNull(), F.col("_q")).otherwise(F.col("queue"))).drop("_q", "_no")

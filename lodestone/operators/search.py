@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import search_forms, words
 
 
+#: Bytes of items that may be broadcast.
+BROADCAST_MOST = 16 << 20
+
+
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term), each once."""
     return docs.select(key, F.explode(search_forms(text)).alias("term"))
@@ -29,7 +33,11 @@ def search(posts: DataFrame, key: str, text: str) -> DataFrame:
     hit = lambda t: fold(F.col("term")).startswith(F.lit(t)) if len(t) > 1 else fold(F.col("term")) == F.lit(t)
     if not terms:
         return posts.select(key).limit(0)
-    found = posts.groupBy(key).agg(*[F.bool_or(hit(t)).alias(f"t{i}") for i, t in enumerate(terms)], F.bool_or(hit("".join(terms))).alias("joined"))
+    any_hit = hit("".join(terms))
+    for t in terms:
+        any_hit = any_hit | hit(t)
+    # Only postings that some word meets are shuffled.
+    found = posts.where(any_hit).groupBy(key).agg(*[F.bool_or(hit(t)).alias(f"t{i}") for i, t in enumerate(terms)], F.bool_or(hit("".join(terms))).alias("joined"))
     every = F.lit(True)
     for i in range(len(terms)):
         every = every & F.col(f"t{i}")
@@ -51,10 +59,13 @@ def contained(items: DataFrame, docs: DataFrame, item: str, doc: str, first_word
     a = a.select(item, "needle", "n", F.array_join("run", " ").alias("run"))
     sizes = sorted(r.n for r in a.select("n").distinct().collect())  # at most first_words + 1 numbers
     b = docs.select(doc, F.lower("text").alias("hay"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    each = F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes if n], F.array().cast("array<string>"))))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    each = F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes if n], F.array().cast("array<bigint>"))))
     holds = F.contains("hay", "needle")
-    hits = a.where("n > 0").join(b.withColumn("w", words(F.col("hay"))).withColumn("run", each), "run").where(holds).select(item, doc)
+    known = a.where("n > 0").withColumn("run", F.xxhash64("run"))
+    if (known.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0) <= BROADCAST_MOST:
+        known = F.broadcast(known)  # then a document's runs are not shuffled
+    hits = b.withColumn("w", words(F.col("hay"))).withColumn("run", each).join(known, "run").where(holds).select(item, doc)
     if 0 in sizes:
         hits = hits.union(a.where("n = 0").join(b, holds).select(item, doc))
     hits = hits.distinct()

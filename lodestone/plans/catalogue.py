@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import status
-from ..operators import lineage, membership, prints, resolve, reviews, searchdoc
+from ..functions import codes, status
+from ..operators import eventlog, lineage, membership, prints, queue, resolve, reviews, searchdoc
 from .registry import query
 from .tables import table
 
@@ -355,3 +355,51 @@ def status_dialects(spark, sf_dir):
         part = part.select("event_id", status.normalised(F.col("report"), dialect).alias("s"))
         out = part if out is None else out.unionByName(part)
     return out.select("event_id", "s.state", "s.progress", "s.bed", "s.error_code")
+
+
+@query("catalogue_diagnostics", f"""
+{having("files")} SELECT count(*) AS rows, count(*) FILTER (WHERE sha256 IS NOT NULL) AS hashed, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT role AS k, count(*) AS n FROM files GROUP BY 1)) AS role, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT state AS k, count(*) AS n FROM files GROUP BY 1)) AS state FROM files""")
+def catalogue_diagnostics(spark, sf_dir):
+    found = eventlog.diagnostics(derived(spark, sf_dir, "files"), ["role", "state"], {"hashed": F.col("sha256").isNotNull()})
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return found.select("rows", "hashed", shown("role"), shown("state"))
+
+
+@query("idle_connections", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1 HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 12 HOUR")
+def idle_connections(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return eventlog.idle_since(rows, "user_id", "ts", F.lit(rows.agg(F.max("ts")).first()[0]), F.make_dt_interval(F.lit(0), F.lit(12)))
+
+
+@query("blend_kinds", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_size % 3 <> 0 THEN 'ratdoux' WHEN p_partkey % 4 = 1 THEN 'neotko' END AS kind, p_partkey % 3 <> 1 AS overlap FROM part""")
+def blend_kinds(spark, sf_dir):
+    n = F.col("p_partkey")
+    mixed = F.when(F.col("p_size") % 3 == 0, " NIL ").otherwise("a,b")
+    config = F.when(n % 4 == 0, F.create_map(F.lit("mixed_filament_definitions"), mixed)).when(n % 4 == 1, F.create_map(F.lit("colorstitch_x"), F.lit("1"))).otherwise(F.create_map(F.lit("layer_height"), F.lit("0.2")))
+    place = F.when(n % 3 == 0, "/a/b").when(n % 3 == 1, "/a/bc").otherwise("/a/b/c/")
+    return table(spark, sf_dir, "part").select("p_partkey", codes.blend_kind(config).alias("kind"), codes.overlaps(F.lit("/a/b/"), place).alias("overlap"))
+
+
+@query("simulated_jobs", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(1.0, value / 20) WHEN 1 THEN 0.25 WHEN 2 THEN 1.0 ELSE 0.0 END AS progress, CASE event_id % 4 WHEN 0 THEN CASE WHEN value >= 20 THEN 'complete' ELSE 'printing' END WHEN 1 THEN 'paused' WHEN 2 THEN 'complete' ELSE 'idle' END AS phase FROM events""")
+def simulated_jobs(spark, sf_dir):
+    phase = F.get(F.array(*[F.lit(x) for x in ("printing", "paused", "complete", "other")]), (F.col("event_id") % 4).cast("int"))
+    found = codes.simulated(phase, F.lit(0.0), F.lit(20.0), F.lit(0.25), F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", found.alias("x")).select("event_id", "x.progress", "x.phase")
+
+
+@query("webhook_messages", """
+SELECT event_id, '{"printer":"p' || user_id || '","event":"' || event_type || '","message":"","progress":null,"filename":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"f' || event_id || '"' END || ',"ts":' || event_id || '}' AS body FROM events""")
+def webhook_messages(spark, sf_dir):
+    name = F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string")))
+    body = codes.webhook_message(F.concat(F.lit("p"), F.col("user_id").cast("string")), F.col("event_type"), F.lit(None).cast("string"), F.lit(None).cast("double"), name, F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
+@query("queue_claims", "SELECT c_custkey AS printer_id, c_custkey * 10 AS item FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 4 <> 0")
+def queue_claims(spark, sf_dir):
+    n = F.col("c_custkey")
+    none = F.array().cast("array<bigint>")
+    state = F.when(n % 3 == 0, "idle").otherwise("printing")
+    rows = table(spark, sf_dir, "customer").select(n.alias("printer_id"), state.alias("state"), (n % 5 == 0).alias("paused"), (n % 7 == 0).alias("stopped"), F.when(n % 4 != 0, F.array(n * 10, n * 10 + 1)).otherwise(none).alias("queue"))
+    return queue.claims(rows)

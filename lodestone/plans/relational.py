@@ -355,14 +355,7 @@ def storage_sums(spark, sf_dir):
 SELECT l_returnflag, n, s[least(floor(0.5 * n)::BIGINT, n - 1) + 1] AS p50, s[least(floor(0.9 * n)::BIGINT, n - 1) + 1] AS p90, s[n] AS most
 FROM (SELECT l_returnflag, count(*) AS n, list_sort(list(l_extendedprice)) AS s FROM lineitem GROUP BY 1)""")
 def percentile_floor_index(spark, sf_dir):
-    """A rank window instead of one sorted list, so a value of any frequency stays spread until its rank is known."""
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    # Counts by value shrink the ordered side to distinct values.
-    values = lines.groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("l_returnflag").orderBy("l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = values.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("l_returnflag")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("l_extendedprice")))
-    return rows.groupBy("l_returnflag").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("l_extendedprice").alias("most"))
+    return browse.floor_percentiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p90": 0.9})
 
 
 @query("job_cost_estimate", """

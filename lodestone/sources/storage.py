@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; set here only where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -59,3 +61,38 @@ def read_document(spark: SparkSession, primary: str, backup: str) -> DataFrame:
             raise
         broken = True
     return spark.read.option("multiLine", True).json(backup) if broken else main
+
+
+def append_events(events: DataFrame, path: str, day: Column) -> None:
+    """Append rows to an event log of Parquet files in a folder for each day; ids come with the rows."""
+    events.withColumn("day", day).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def write_document(rows: DataFrame, folder: str, versions: int = 2) -> str:
+    """Write rows as the next version of a JSON document and drop all but the last ``versions``; returns its path.
+
+    Readers take the last version with a _SUCCESS mark, so a write that fails
+    half-way leaves the one before in force.
+    """
+    spark = rows.sparkSession
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+    number = int(found[-1][1:]) + 1 if found else 0
+    path = f"{folder}/v{number:012d}"
+    rows.write.json(path)
+    whole = [n for n in [*found, path.rsplit("/", 1)[1]] if files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    for name in whole[:-versions]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    return path
+
+
+def document(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The last whole version of a document; none gives no rows."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in files.listStatus(at)), reverse=True) if files.exists(at) else []
+    whole = next((n for n in names if files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))), None)
+    return spark.read.schema(schema).json(f"{folder}/{whole}") if whole else spark.createDataFrame([], schema)

@@ -157,9 +157,47 @@ def test_gcode(spark):
     assert [(o.name_norm, o.copies) for o in f.objects] == [("lid", 2)] and len(f.pictures) == 1 and got["e"].objects == []
     found = gcode.settings(spark.createDataFrame([("f", source.replace("g, 2.25", "g; 2.25"))], "path string, text string"), "path", "text")
     assert [(r.slot, r.hex, r.type, r.used_g) for r in gcode.palette(found, "path").orderBy("slot").collect()] == [(0, "#FF0000", "PLA", 1.5), (1, "#0000FF", "PETG", 2.25)]
-    head, tail = files.must_grow(F.col("h"), F.col("t"))
-    row = spark.createDataFrame([("; png begin 4*4\n", "x")], "h string, t string").select(head.alias("a"), tail.alias("b")).first()
-    assert (row.a, row.b) == (True, True)
+    assert gcode.window_needs(b"; png begin 4*4\n", b"x") == (True, True)
+    assert gcode.window_needs(b"; thumbnail_JPG begin 4x4 9\n; thumbnail_JPG end\nG1 F9 X-3\n", b"; printer_model=x\n") == (False, False)
+    assert gcode.picture_mark("; thumbnail begin 300 200 5") == ("begin", 300, 200) and gcode.picture_mark("; begin") is None
+
+
+def test_windows_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "HEAD", 64)
+    monkeypatch.setattr(files, "TAIL", 32)
+    monkeypatch.setattr(files, "MOST", 256)
+    body = "; thumbnail begin 4x4 9\n" + "; " + "A" * 150 + "\n; thumbnail end\nG1 X1 Y2\n" + "G1 X2\n" * 60 + "; printer_model = Own\n"
+    (tmp_path / "a.gcode").write_text(body)
+    (tmp_path / "b.gcode").write_text("G1 X1\n")
+    rows = [(f"file://{tmp_path}/{n}.gcode", (tmp_path / f"{n}.gcode").stat().st_size) for n in "ab"]
+    # The sizes are read when a window is, so they are tried in this process.
+    head, tail, grew = files.read_window(*rows[0])
+    assert grew == ["head:256"] and head.decode() == body[:256] and tail.decode() == body[-32:]
+    got = {r.path: r for r in files.windows(spark.createDataFrame(rows, "path string, size bigint")).collect()}
+    assert got[rows[1][0]]["head"] == b"G1 X1\n" and got[rows[1][0]].tail is None and got[rows[0][0]].grew == []
+
+
+def test_documents_and_event_log(spark, tmp_path):
+    folder = f"{tmp_path}/doc"
+    assert storage.document(spark, folder, "a int").count() == 0
+    for n in range(3):
+        storage.write_document(spark.createDataFrame([(n,)], "a int"), folder)
+    assert [r.a for r in storage.document(spark, folder, "a int").collect()] == [2]
+    (tmp_path / "doc" / "v000000000009").mkdir()  # a write that did not end
+    assert [r.a for r in storage.document(spark, folder, "a int").collect()] == [2]
+    events = spark.createDataFrame([(1, "x"), (2, "y")], "id int, what string")
+    for _ in range(2):
+        storage.append_events(events, f"{tmp_path}/log", F.lit("2024-01-01"))
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+
+
+def test_bulk_changes_are_whole(spark):
+    queues = spark.createDataFrame([("a", "idle", ["x"]), ("b", "dispatching", ["y"]), ("c", "idle", [])], "printer_id string, state string, queue array<string>")
+    ok = spark.createDataFrame([("a", ["z"]), ("c", ["w"])], "printer_id string, queue array<string>")
+    assert {r.printer_id: r.queue for r in queue.bulk_applied(queues, ok).collect()} == {"a": ["z"], "b": ["y"], "c": ["w"]}
+    no = spark.createDataFrame([("a", ["z"]), ("b", ["w"])], "printer_id string, queue array<string>")
+    assert {r.printer_id: r.queue for r in queue.bulk_applied(queues, no).collect()} == {"a": ["x"], "b": ["y"], "c": []}
+
 
 
 def test_archives(spark):
