@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .browse import top_within
+
 # Where a family of hues ends, in degrees; red also begins at 345.
 HUES = (("red", 15), ("orange", 45), ("yellow", 70), ("green", 165), ("cyan", 195), ("blue", 250), ("violet", 290), ("magenta", 345), ("red", 361))
 NAMES = ("white", "black", "grey", *dict.fromkeys(n for n, _ in HUES))
@@ -95,5 +97,6 @@ def covers(candidates: DataFrame) -> DataFrame:
 def model_page(model: DataFrame, files: DataFrame, prints: DataFrame, latest: int = 20) -> DataFrame:
     """One row a model with its files and latest prints as nested lists."""
     own = files.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("rel_path", "role", "state"))).alias("files"))
-    rows = prints.groupBy("model_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("ended_at", "outcome")), asc=False), 1, latest).alias("prints"))
+    last = top_within(prints, ["model_id"], [F.desc("ended_at"), F.desc("outcome")], latest)
+    rows = last.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("ended_at", "outcome")), asc=False).alias("prints"))
     return model.join(own, "model_id", "left").join(rows, "model_id", "left")
