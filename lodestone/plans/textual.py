@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, lineage, resolve, search
+from ..sources import files
 from .registry import query
 from .tables import table
 
@@ -17,12 +18,11 @@ def content_hashes(spark, sf_dir):
 
 
 @query("quick_fingerprint", """
-SELECT doc_id, substr(sha256(CAST(length(text) AS VARCHAR) || ':' || substr(text, 1, 64) || substr(text, CAST(greatest(0, length(text) // 2 - 32) AS BIGINT) + 1, 64) || substr(text, CAST(greatest(0, length(text) - 64) AS BIGINT) + 1, 64)), 1, 32) AS quick_fp FROM documents""")
+WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents), w AS (SELECT *, greatest(0, n // 2 - 32) AS mid, greatest(0, n - 64) AS last FROM d)
+SELECT doc_id, CASE WHEN b IS NOT NULL THEN substr(sha256(encode(n || ':') || b[1:64] || CASE WHEN mid > 0 THEN b[mid + 1:mid + 64] ELSE ''::BLOB END || CASE WHEN last > 0 AND last <> mid THEN b[last + 1:last + 64] ELSE ''::BLOB END), 1, 32) END AS quick_fp, sha256(b) AS sha256 FROM w""")
 def quick_fingerprint(spark, sf_dir):
-    n = F.length("text")
-    window = lambda start: F.col("text").substr((F.greatest(F.lit(0), start) + 1).cast("int"), F.lit(64))
-    parts = F.concat(n.cast("string"), F.lit(":"), window(F.lit(0)), window(F.floor(n / 2) - 32), window(n - 64))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(parts, 256), 1, 32).alias("quick_fp"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return files.with_fingerprints(rows, 64).select("doc_id", "quick_fp", "sha256")
 
 
 @query("duplicate_pairs", "SELECT md5(x.text) AS k, x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id")
