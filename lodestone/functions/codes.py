@@ -102,7 +102,7 @@ def ratio_suspect(a: Column, b: Column) -> Column:
     return (a > 0) & (b > 0) & ((a / b > 8) | (a / b < 1 / 8))
 
 
-#: States of four dialects and the common name of each.
+#: States of several dialects and this library's own name of each.
 STATES = {
     "IDLE": "idle", "standby": "idle", "ready": "idle", "RUNNING": "printing", "printing": "printing", "PREPARE": "printing", "heating": "printing",
     "PAUSE": "paused", "paused": "paused", "FINISH": "complete", "complete": "complete", "completed": "complete", "FAILED": "error", "error": "error",

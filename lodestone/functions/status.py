@@ -16,11 +16,13 @@ PATHS = {
     "creality": {"state": "$.state", "filename": "$.printFileName", "progress": "$.printProgress", "elapsed": "$.printJobTime", "bed": "$.bedTemp0", "hotend": "$.nozzleTemp", "layer": "$.layer", "layers": "$.TotalLayer", "fan": "$.modelFanPct"},
 }
 STATES = {
-    "moonraker": {"standby": "idle", "printing": "printing", "paused": "paused", "complete": "complete", "error": "error", "cancelled": "cancelled"},
-    "bambu": {"IDLE": "idle", "PREPARE": "printing", "SLICING": "printing", "RUNNING": "printing", "PAUSE": "paused", "FINISH": "complete", "FAILED": "error"},
-    "flashforge": {"ready": "idle", "heating": "printing", "printing": "printing", "pause": "paused", "completed": "complete", "cancel": "cancelled", "error": "error"},
-    "creality": {"0": "idle", "1": "printing", "2": "complete", "3": "error", "4": "cancelled", "5": "paused"},
+    "moonraker": {"standby": "standby", "printing": "printing", "paused": "paused", "complete": "complete", "error": "error", "cancelled": "cancelled"},
+    "bambu": {"IDLE": "standby", "PREPARE": "printing", "SLICING": "printing", "RUNNING": "printing", "PAUSE": "paused", "FINISH": "complete", "FAILED": "error"},
+    "flashforge": {"ready": "standby", "heating": "printing", "printing": "printing", "pause": "paused", "completed": "complete", "cancel": "cancelled", "error": "error"},
+    "creality": {"0": "standby", "1": "printing", "2": "complete", "3": "error", "4": "cancelled", "5": "paused"},
 }
+#: A job that ends in FAILED with this code, or none, was cancelled.
+CANCELLED = 0x0300_400C
 #: What a full fan and a whole job are in each dialect.
 FULL_FAN = {"moonraker": 1.0, "bambu": 15.0, "flashforge": 100.0, "creality": 100.0}
 WHOLE_JOB = {"moonraker": 1.0, "bambu": 100.0, "flashforge": 1.0, "creality": 100.0}
@@ -49,13 +51,16 @@ def normalised(report: Column, dialect: str) -> Column:
     text = lambda f: F.get_json_object(report, paths[f]) if f in paths else F.lit(None).cast("string")
     number = lambda f: text(f).try_cast("double")
     table = F.create_map(*[F.lit(v) for pair in STATES[dialect].items() for v in pair])
-    own = F.coalesce(F.try_element_at(table, text("state")), text("state"), F.lit("unknown"))
+    own = F.coalesce(F.try_element_at(table, text("state")), F.lit("unknown") if dialect == "bambu" else text("state"), F.lit("unknown"))
+    if dialect == "bambu":
+        code = F.coalesce(F.get_json_object(report, "$.print_error").try_cast("bigint"), F.lit(0))
+        own = F.when((text("state") == "FAILED") & code.isin(0, CANCELLED), "cancelled").otherwise(own)
     broken = fault(report)
     state = F.when(broken.isNotNull(), "error").otherwise(own)
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number("progress"), F.lit(0.0)) / WHOLE_JOB[dialect]))
     busy = own.isin("printing", "paused")
     if dialect == "bambu":
-        part = F.when(own == "complete", 1.0).when(busy | (own == "error"), part).otherwise(0.0)
+        part = F.when(own == "complete", 1.0).when(text("state").isin("RUNNING", "PAUSE", "FAILED"), part).otherwise(0.0)
     in_job = lambda c: F.when(busy, c) if dialect == "bambu" else c
     fan = rounded(F.greatest(F.lit(0.0), F.least(F.lit(FULL_FAN[dialect]), number("fan"))) / FULL_FAN[dialect] * 100)
     return F.struct(

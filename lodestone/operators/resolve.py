@@ -289,14 +289,24 @@ def folder_classes(folders: DataFrame) -> DataFrame:
     return rows.join(spread, "_key").withColumn("class", kind.otherwise("unknown")).drop("_key", "_parent", "_n")
 
 
+# Kinds of review items that a run makes and closes.
+MANAGED = (
+    "suggested_match", "ambiguous_grouping", "possible_duplicate", "source_may_match", "unknown_printer", "folder_disagrees",
+    "missing_file", "source_offline", "unreadable_file", "file_changed", "decision_unmatched", "empty_model",
+)
+
+
 def reviews_after(current: DataFrame, produced: DataFrame) -> DataFrame:
-    """Review items after a run: new and returning ones open, vanished ones closed, dismissed ones left alone.
+    """Review items after a run: new and returning ones open, open ones that vanished closed by themselves, what a person settled left alone.
 
-    Both: subject_key, kind; current also status.
+    Both: subject_key, kind; current also status (open, dismissed, resolved or
+    auto_closed). Items of kinds that no run makes stay as they are.
     """
     p = produced.select("subject_key", F.col("kind").alias("p_kind"))
     both = current.join(p, "subject_key", "full_outer")
-    status = F.when(F.col("status") == "dismissed", "dismissed").when(F.col("p_kind").isNotNull(), "open").otherwise("closed")
+    settled = F.col("status").isin("dismissed", "resolved")
+    gone = (F.col("status") == "open") & F.col("kind").isin(*MANAGED)
+    status = F.when(settled, F.col("status")).when(F.col("p_kind").isNotNull(), "open").when(gone, "auto_closed").otherwise(F.col("status"))
     return both.select("subject_key", F.coalesce("p_kind", "kind").alias("kind"), status.alias("status"))
 
 

@@ -336,7 +336,7 @@ def keys_after_hashing(spark, sf_dir):
 
 
 @query("status_dialects", """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE 'printing' END WHEN 1 THEN CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'paused' ELSE 'printing' END WHEN 2 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END ELSE 'idle' END AS state,
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE 'printing' END WHEN 1 THEN CASE WHEN event_type = 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'cancelled' END WHEN event_type = 'view' THEN 'paused' ELSE 'printing' END WHEN 2 THEN CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END ELSE 'standby' END AS state,
   CASE event_id % 4 WHEN 0 THEN value / 1000 WHEN 1 THEN least(1.0, value / 100) WHEN 2 THEN value / 1000 ELSE 0.0 END AS progress,
   CASE event_id % 4 WHEN 0 THEN floor(value + 0.5) WHEN 1 THEN floor(value + 0.5) WHEN 2 THEN floor(value + 0.5) END::BIGINT AS bed, CASE WHEN event_id % 4 = 0 AND event_type = 'error' THEN 'KLIPPER_SHUTDOWN' ELSE '' END AS error_code FROM events""")
 def status_dialects(spark, sf_dir):
@@ -344,7 +344,7 @@ def status_dialects(spark, sf_dir):
     v, bad = F.col("value"), F.col("event_type") == "error"
     reports = {
         "moonraker": F.to_json(F.struct(F.struct(F.when(bad, "shutdown").otherwise("ready").alias("state"), F.lit(" off ").alias("state_message")).alias("webhooks"), F.struct(F.lit("printing").alias("state")).alias("print_stats"), F.struct((v / 1000).alias("progress")).alias("virtual_sdcard"), F.struct(v.alias("temperature")).alias("heater_bed"))),
-        "bambu": F.to_json(F.struct(F.when(bad, "FAILED").when(F.col("event_type") == "view", "PAUSE").otherwise("RUNNING").alias("gcode_state"), v.alias("mc_percent"), v.alias("bed_temper"))),
+        "bambu": F.to_json(F.struct(F.when(bad, "FAILED").when(F.col("event_type") == "view", "PAUSE").otherwise("RUNNING").alias("gcode_state"), F.when(F.col("user_id") % 3 == 0, 83902524).when(F.col("user_id") % 3 == 1, status.CANCELLED).otherwise(0).alias("print_error"), v.alias("mc_percent"), v.alias("bed_temper"))),
         "flashforge": F.to_json(F.struct(F.when(bad, "error").otherwise("completed").alias("status"), (v / 1000).alias("printProgress"), v.alias("platTemp"))),
         "creality": F.to_json(F.struct(F.lit(0).alias("state"))),
     }

@@ -195,11 +195,11 @@ def model_suggestions(spark, sf_dir):
 
 
 @query("review_items_after_run", """
-WITH c AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'closed' END AS status FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS k FROM part WHERE p_size % 2 = 0)
-SELECT coalesce(c.k, n.k) AS subject_key, CASE WHEN c.status = 'dismissed' THEN 'dismissed' WHEN n.k IS NOT NULL THEN 'open' ELSE 'closed' END AS status FROM c FULL JOIN n ON n.k = c.k""")
+WITH c AS (SELECT p_partkey AS k, p_partkey % 7 <> 0 AS managed, CASE p_partkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'resolved' ELSE 'auto_closed' END AS status FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS k FROM part WHERE p_size % 2 = 0)
+SELECT coalesce(c.k, n.k) AS subject_key, CASE WHEN c.status IN ('dismissed', 'resolved') THEN c.status WHEN n.k IS NOT NULL THEN 'open' WHEN c.status = 'open' AND managed THEN 'auto_closed' ELSE c.status END AS status FROM c FULL JOIN n ON n.k = c.k""")
 def review_items_after_run(spark, sf_dir):
     n = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").select(n.alias("subject_key"), F.lit("k").alias("kind"), F.when(n % 3 == 0, "open").when(n % 3 == 1, "dismissed").otherwise("closed").alias("status"), "p_size")
+    part = table(spark, sf_dir, "part").select(n.alias("subject_key"), F.when(n % 7 != 0, "empty_model").otherwise("unlinked_print").alias("kind"), F.when(n % 4 == 0, "open").when(n % 4 == 1, "dismissed").when(n % 4 == 2, "resolved").otherwise("auto_closed").alias("status"), "p_size")
     return resolve.reviews_after(part.where("subject_key % 5 <> 0").drop("p_size"), part.where("p_size % 2 = 0").select("subject_key", "kind")).select("subject_key", "status")
 
 

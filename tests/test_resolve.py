@@ -108,9 +108,9 @@ def test_suggestions_reviews_folders_recovery(spark):
     assert {(r.key, r.model) for r in resolve.suggestions(pairs, model, none).collect()} == {("b", "m1"), ("c", "m1")}
     apart = spark.createDataFrame([("m1", "m2")], "a string, b string")
     assert {(r.key, r.model) for r in resolve.suggestions(pairs, model, apart).collect()} == {("a", "m3"), ("c", "m1")}
-    now = spark.createDataFrame([("x", "k", "open"), ("y", "k", "dismissed"), ("z", "k", "closed")], "subject_key string, kind string, status string")
+    now = spark.createDataFrame([("x", "empty_model", "open"), ("y", "k", "dismissed"), ("z", "k", "auto_closed")], "subject_key string, kind string, status string")
     made = spark.createDataFrame([("y", "k"), ("z", "k"), ("new", "k")], "subject_key string, kind string")
-    assert {r.subject_key: r.status for r in resolve.reviews_after(now, made).collect()} == {"x": "closed", "y": "dismissed", "z": "open", "new": "open"}
+    assert {r.subject_key: r.status for r in resolve.reviews_after(now, made).collect()} == {"x": "auto_closed", "y": "dismissed", "z": "open", "new": "open"}
     folders = spark.createDataFrame([("r", "Ann/STL"), ("r", "Bob/Ann"), ("r", "Ann"), ("r", "Ender-3 V3 KE"), ("r", "odd")], "root_id string, rel_path string")
     assert {r.rel_path: r["class"] for r in resolve.folder_classes(folders).collect()} == {"Ann/STL": "format", "Bob/Ann": "designer", "Ann": "designer", "Ender-3 V3 KE": "printer_family_like", "odd": "unknown"}
     cache = spark.createDataFrame([("f", 1, "s1"), ("g", 1, "s2"), ("g", 1, "s3")], "quick_fp string, size int, sha256 string")
