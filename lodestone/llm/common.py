@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words and is stripped from lines.
 ASCII_SPACE = "\x09\x0a\x0b\x0c\x0d\x20"
+#: Paths of the tables that each application's operators wrote.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all tables that operators of this application left in the shared folder; call it once their results are read."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +61,7 @@ def dropped(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000, field: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -74,8 +87,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds; each round is written to
     the shared folder. Self links and repeats are harmless, a null end drops
-    the link, an empty table gives an empty result. A hub's links are never
-    gathered: a round only takes minima, which combine on the map side.
+    the link, an empty table gives an empty result. Minima combine on the map
+    side; they are stored before they meet the links again, so that join reads
+    two plain tables and AQE can broadcast the minima or split a hub's links.
     """
     edges = stored(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -86,15 +100,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = _mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), "large")
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "links")
         mark = _mark(after)
-        dropped(edges)
-        dropped(large)
+        for table in (edges, large, low):
+            dropped(table)
         edges, done, seen = after, mark == seen, mark
         if done:
             break

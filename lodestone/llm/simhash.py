@@ -435,10 +435,11 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, share: Fraction) -> tup
     most the fewer common ones; those that share r of them in r more.
     """
     every = stored(_shingles(sets), "shingles")
-    held = stored(every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "held")
-    common = every.join(held.where(F.col("n") > RARE), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
-    nodes = stored(nodes.join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(0))), "with-common")
-    rare = stored(every.join(held.where(F.col("n") <= RARE), "shingle").select("shingle", "node"), "rare")
+    # Common shingles are most rows of a large group, so the others are counted and taken off.
+    few = stored(every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("only")).where(F.col("n") <= RARE), "few")
+    rare = stored(every.join(few.where("n > 1").select("shingle"), "shingle"), "rare")
+    less = few.where("n = 1").select(F.col("only").alias("node")).union(rare.select("node")).groupBy("node").agg(F.count("*").alias("less"))
+    nodes = stored(nodes.join(less, "node", "left").withColumn("common", F.col("size") - F.coalesce("less", F.lit(0))).drop("less"), "with-common")
     met = rare.select("shingle", F.col("node").alias("a")).join(rare.select("shingle", F.col("node").alias("b")), "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("r"))
     of = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "size", "common")])
     rows = met.join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label")
@@ -494,9 +495,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     prints = stored(prints.withColumn("node", F.monotonically_increasing_id()), "distinct")
     members, rest, links = prints.select("node", "sig", F.posexplode("keys").alias("t", "key")), None, None
 
-    def joined(pairs: DataFrame) -> DataFrame:
+    def joined(pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+        """The groups with the links that the pairs bring; ``groups`` are those so far."""
         nonlocal links
-        new = stored(_verified(stored(pairs.distinct(), "pairs"), prints, docs, words, share, id_col, text_col), "verified")
+        pairs = stored(pairs.distinct(), "pairs")
+        if groups is not None and pairs.isEmpty():
+            return groups
+        new = stored(_verified(pairs, prints, docs, words, share, id_col, text_col), "verified")
+        if groups is not None and new.isEmpty():
+            return groups
         links = new if links is None else links.unionByName(new)
         return stored(components(links), "groups")
 
@@ -522,7 +529,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         nodes = prints.join(rest.select("node", "label").distinct(), "node").select("node", "label", "size", F.col("first.id").alias("k"), "g1", "g2")
         nodes = stored(nodes, "nodes")
         more, nodes = _by_rare_shingles(nodes.select("node", "label", "size"), _sets(nodes.select("node", "k", "g1", "g2"), docs, words, id_col, text_col), share)
-        groups = joined(more)
+        groups = joined(more, groups)
         # Only what has enough common shingles for the similarity with the smallest of its bucket.
         members = rest.select("node", "t", "key", "sig").join(nodes.select("node", "size", "common"), "node").join(groups, "node", "left").select("node", label, "t", "key", "sig", "size", "common")
         enough = F.col("common") * (share.numerator + share.denominator) >= share.numerator * (F.col("size") + F.col("least"))
@@ -534,7 +541,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         first, last = 1, 2
         while not members.isEmpty():
             found = stored(_later_candidates(members, first, last, alike, share), "near")
-            groups = joined(found.where("t < 0").select("a", "b"))
+            groups = joined(found.where("t < 0").select("a", "b"), groups)
             members = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "size", "common")
             members = stored(members.join(groups, "node", "left").select("node", label, "t", "key", "sig", "size", "common"), "open-rows")
             first, last = last + 1, last * 8

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import dealt, matrix, to_all_blocks, usable, width_of
 
-BUCKETS, BLOCK, QUERIES, SEEDS = 32, 4096, 1024, 2048
+BUCKETS, BLOCK, QUERIES, SEEDS = 32, 4096, 16_384, 2048
 #: From this local cosine on, coordinates prune; below it, lengths do. How many coordinates.
 COSINE, FOCUS = 0.25, 4
 

@@ -1,5 +1,6 @@
 """Lines, fingerprints, near copies and sharding against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -228,3 +229,13 @@ def test_a_large_group_of_near_copies_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == want
+
+
+def test_tables_are_removed(spark):
+    table = common.stored(spark.range(3), "three")
+    assert table.count() == 3
+    path = table._lodestone_path.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.remove_tables(spark)
+    assert not os.path.isdir(path)
+    common.dropped(table)  # harmless
