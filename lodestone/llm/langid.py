@@ -160,7 +160,7 @@ def fit(docs: DataFrame, may_learn: Column, label: str = "lang", id_col: str = "
     own = F.octet_length("at") + F.octet_length("share")
     before = F.sum(own).over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "at")) - own
     got = told.withColumn("before", before).where(F.col("before") <= MOST_BYTES // len(have)).drop("before").collect()
-    got.sort(key=lambda r: (r.id, r.at))
+    got.sort(key=lambda r: (r.id is None, 0 if r.id is None else r.id, r.at))
     return train([(r.lang, np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.share, "<f4").astype(float)) for r in got])
 
 
