@@ -12,10 +12,10 @@ def name_key(x: Column) -> Column:
 
 
 def camel_split(x: Column) -> Column:
-    """Blanks at borders between lower and upper case, before the last capital of a run, and between letters and digits."""
+    """Blanks at borders between lower and upper case, before the last capital of a run, and between a number and a word."""
     x = F.regexp_replace(x, r"(\p{Ll})(\p{Lu})", "$1 $2")
     x = F.regexp_replace(x, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
-    return F.regexp_replace(x, r"(\p{L})(\p{N})", "$1 $2")
+    return F.regexp_replace(x, r"(\p{N})(\p{L}{2,})", "$1 $2")
 
 
 def words(x: Column) -> Column:
@@ -23,15 +23,16 @@ def words(x: Column) -> Column:
 
 
 def search_forms(x: Column, most: int = 400) -> Column:
-    """Words and the joins of two and three neighbours, of more than one character, each once."""
+    """Words parted at capitals, and joins of two and three neighbours of these and of the words as they are; of more than one character, each once."""
 
-    def joined(list_: Column, n: int) -> Column:
-        last = F.size(list_) - n
-        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(list_, i + 1, n), ""))
-        return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+    def joined(list_: Column) -> Column:
+        n = F.size(list_)
+        run = lambda i, k: F.array_join(F.slice(list_, i, k), "")
+        each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.when(i + 2 <= n, F.array(run(i, 2), run(i, 3))).otherwise(F.array(run(i, 2))))
+        return F.when(n > 1, F.flatten(each)).otherwise(F.array().cast("array<string>"))
 
-    list_ = words(camel_split(x))
-    all_ = F.concat(list_, joined(list_, 2), joined(list_, 3))
+    parted = words(camel_split(x))
+    all_ = F.concat(parted, joined(parted), joined(words(x)))
     return F.slice(F.array_distinct(F.filter(all_, lambda w: F.length(w) > 1)), 1, most)
 
 

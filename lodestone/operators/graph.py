@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import written
+from ..sources.storage import removed, written
 
 
 def components(nodes: DataFrame, links: DataFrame, key: str = "key", a: str = "a", b: str = "b") -> DataFrame:
@@ -16,12 +16,14 @@ def components(nodes: DataFrame, links: DataFrame, key: str = "key", a: str = "a
     joins of links and labels read two stored tables and AQE can split a hub's.
     """
     both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).where("u <> v").distinct(), "links")
-    labels = nodes.select(key, F.col(key).alias("component")).distinct()
+    labels, last = nodes.select(key, F.col(key).alias("component")).distinct(), None
     while True:
         near = both.join(labels.where("component IS NOT NULL"), F.col("v") == F.col(key)).groupBy("u").agg(F.min("component").alias("m"))
         low = labels.join(near, F.col(key) == F.col("u"), "left").select(key, "component", F.least("component", "m").alias("m"))
         jump = labels.select(F.col(key).alias("m"), F.col("component").alias("j"))
         after = written(low.join(jump, "m", "left").select(key, F.least("m", "j").alias("component"), (F.least("m", "j") != F.col("component")).alias("moved")), "labels")
-        labels = after.select(key, "component")
+        removed(*([last] if last is not None else []))
+        labels, last = after.select(key, "component"), after
         if after.where("moved").isEmpty():
+            removed(both)
             return labels

@@ -24,7 +24,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which ends its lineage."""
     path = f"{shared_folder(df.sparkSession)}/table-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` wrote, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_lodestone_path", None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def first_wins(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
