@@ -1,19 +1,18 @@
-"""Entity resolution: blocking, evidence, policy, constrained clusters, assignment.
+"""Entity resolution: blocking, evidence, policy; clusters and common names are in modules of their own.
 
 All stages are functions of their tables, so a rebuild is running them again.
-Keys are content keys. Sequential rules run inside connected components,
-which they cannot cross.
+Keys are content keys.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import families_like
 from ..functions.text import name_key
-from .graph import components
+from .clusters import assigned, constrained_clusters  # noqa: F401  part of resolution
+from .genericity import common_objects  # noqa: F401
 from .manifest import in_folders
 
 #: A block of more keys is common, not evidence.
@@ -154,81 +153,6 @@ def policy(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"cls": cls, "confidence": confidence, "groups": groups, "method": F.when(conflict & ~identity, "conflict").otherwise(F.array_join(signals, "+"))})
 
 
-def constrained_clusters(keys: DataFrame, edges: DataFrame, pins: DataFrame, rejects: DataFrame, anchors: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(key, cluster): automatic edges joined in order of confidence, except where a decision forbids it.
-
-    edges: a, b, confidence; pins, rejects, anchors: key, model; distinct: a, b
-    (models kept apart). A join is refused if the sides are pinned to different
-    models, if a member of one was separated from a model of the other, or if
-    their models are kept apart. A refusal only looks at both sides' members,
-    so each component of the unconstrained edges is folded on its own.
-    """
-    place = components(keys, edges)
-    rows = edges.join(place, F.col("a") == F.col("key")).select("component", F.lit("edge").alias("kind"), "a", "b", F.when(F.col("confidence") == "exact", 0).otherwise(1).cast("bigint").alias("n"))
-    for kind, table in (("pin", pins), ("reject", rejects), ("anchor", anchors)):
-        rows = rows.unionByName(table.join(place, "key").select("component", F.lit(kind).alias("kind"), F.col("key").alias("a"), F.lit(None).cast("string").alias("b"), F.col("model").cast("bigint").alias("n")))
-    told = rows.where("kind = 'edge'").select("component").distinct()
-    named = rows.where("kind <> 'edge'").select("component", F.col("n").alias("m")).distinct()
-    apart = named.join(distinct.select(F.col("a").alias("m"), F.col("b").alias("m2")).union(distinct.select("b", "a")), "m").join(told, "component")
-    rows = rows.join(told, "component").unionByName(apart.select("component", F.lit("apart").alias("kind"), F.col("m").cast("string").alias("a"), F.col("m2").cast("string").alias("b"), F.lit(None).cast("bigint").alias("n")))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        of = {k: g for k, g in group.groupby("kind")}
-        table = lambda k: [(a, int(n)) for a, n in zip(of[k]["a"], of[k]["n"], strict=True)] if k in of else []
-        pin, reject, owned = {}, {}, {}
-        for target, kind in ((pin, "pin"), (reject, "reject"), (owned, "pin"), (owned, "anchor")):
-            for key, model in table(kind):
-                target.setdefault(key, set()).add(model)
-        kept_apart = {(int(a), int(b)) for a, b in zip(of["apart"]["a"], of["apart"]["b"], strict=True)} if "apart" in of else set()
-        edges_ = sorted(zip(of["edge"]["n"], of["edge"]["a"] + of["edge"]["b"], of["edge"]["a"], of["edge"]["b"], strict=True))
-        side = {k: frozenset([k]) for _, _, a, b in edges_ for k in (a, b)}
-        union = lambda table_, ks: set().union(*[table_.get(k, set()) for k in ks])
-        for _, _, a, b in edges_:
-            x, y = side[a], side[b]
-            if x is y:
-                continue
-            px, py = union(pin, x), union(pin, y)
-            mx, my = union(owned, x), union(owned, y)
-            refused = px and py and px - py or union(reject, x) & my or union(reject, y) & mx or any((m, n) in kept_apart for m in mx for n in my)
-            if not refused:
-                joined = x | y
-                for k in joined:
-                    side[k] = joined
-        return pd.DataFrame({"key": list(side), "cluster": [min(s) for s in side.values()]})
-
-    folded = rows.groupBy("component").applyInPandas(fold, "key string, cluster string")
-    return keys.join(folded, "key", "left").select("key", F.coalesce("cluster", "key").alias("cluster"))
-
-
-def assigned(clusters: DataFrame, pins: DataFrame, rejects: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(cluster, model): the pinned model, else the one that owns at least half of it, each model once.
-
-    Largest overlap first, then first key, then the older model; a cluster
-    without a model gets a new one named by a hash of its key, so that runs
-    agree. The greedy choice is made inside components of clusters and models.
-    """
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("key").alias("first"))
-    pinned = clusters.join(pins, "key").groupBy("cluster").agg(F.collect_set("model").alias("m")).where(F.size("m") == 1).select("cluster", F.col("m")[0].alias("model"))
-    free = clusters.join(pinned.select("cluster"), "cluster", "left_anti").join(anchors, "key").join(rejects, ["key", "model"], "left_anti")
-    want = free.groupBy("cluster", "model").agg(F.count_distinct("key").alias("n")).join(size, "cluster").where(F.col("n") * 2 >= F.col("size"))
-    ends = want.select(F.concat(F.lit("c"), "cluster").alias("a"), F.concat(F.lit("m"), F.col("model").cast("string")).alias("b"))
-    place = components(ends.select(F.col("a").alias("key")).union(ends.select("b")), ends)
-    grouped = want.join(place, F.concat(F.lit("c"), "cluster") == F.col("key")).select("component", "cluster", "model", "n", "first")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "first", "model"], ascending=[False, True, True])
-        taken, out = set(), {}
-        for cluster, model in zip(group["cluster"], group["model"], strict=True):
-            if cluster not in out and model not in taken:
-                out[cluster] = model
-                taken.add(model)
-        return pd.DataFrame({"cluster": list(out), "model": [str(m) for m in out.values()]})
-
-    chosen = grouped.groupBy("component").applyInPandas(choose, "cluster string, model string")
-    all_ = pinned.select("cluster", F.col("model").cast("string").alias("model")).unionByName(chosen)
-    return size.select("cluster").join(all_, "cluster", "left").select("cluster", F.coalesce("model", F.concat(F.lit("new-"), F.substring(F.sha1("cluster"), 1, 16))).alias("model"), F.col("model").isNull().alias("created"))
-
-
 def duplicates(files: DataFrame, key: str = "content_key", place: str = "place", hashed: Column | None = None) -> DataFrame:
     """(a, b) places of one content, linked in order of place: each copy to the one before it, ``exact`` if all are hashed.
 
@@ -256,25 +180,6 @@ def suggestions(pairs: DataFrame, model_of: DataFrame, distinct: DataFrame) -> D
     return each.groupBy("key").agg(F.count("*").alias("n"), F.first("model").alias("model")).where("n = 1").select("key", "model")
 
 
-def common_objects(names: DataFrame, least: int = 3) -> DataFrame:
-    """(name, groups) of object names that at least ``least`` unrelated titles use.
-
-    names: name, title. Titles are related if one's words are all the other's.
-    Titles of a name are folded one by one into groups; only groups are kept.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        sets: list[set[str]] = []
-        for title in sorted(set(group["title"])):
-            own = set(title.split())
-            near = [s for s in sets if own <= s or s <= own]
-            sets = [s for s in sets if not any(s is n for n in near)]
-            sets.append(min([own, *near], key=len))
-        return pd.DataFrame({"name": [group["name"].iloc[0]], "groups": [len(sets)]})
-
-    return names.groupBy("name").applyInPandas(fold, "name string, groups int").where(F.col("groups") >= least)
-
-
 def folder_classes(folders: DataFrame) -> DataFrame:
     """Adds ``class``: format, printer_family_like (a short name of a family), designer (its name comes up under another parent) or unknown.
 
