@@ -235,8 +235,20 @@ def pair_policy_with_folders(spark, sf_dir):
     return resolve.policy(resolve.evidence(pairs, nodes, lineage, status)).select("a", "b", "cls", "confidence")
 
 
-@query("common_object_names", """
-WITH t AS (SELECT DISTINCT p_size AS name, p_type || ' ' || p_partkey % 3 AS title FROM part) SELECT name::VARCHAR AS name, count(*)::INTEGER AS groups FROM t GROUP BY 1 HAVING count(*) >= 3""")
+_TITLE = """CASE p_type WHEN 'ECONOMY' THEN p_name WHEN 'SMALL' THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 'MEDIUM' THEN replace(p_name, ' ', '')
+  WHEN 'LARGE' THEN p_name || ' no ' || p_size WHEN 'PROMO' THEN 'a b ' || p_size ELSE replace(p_name, ' ', '-') || ' set' END"""
+
+
+@query("common_object_names", f"""
+WITH RECURSIVE t AS (SELECT DISTINCT p_brand || ' ' || p_size // 10 AS name, {_TITLE} AS title FROM part),
+c AS (SELECT *, regexp_replace(title, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k, array_to_string(list_sort(string_split(title, ' ')), ' ') AS bag FROM t),
+e AS (SELECT x.name, x.title AS a, y.title AS b FROM c x JOIN c y ON x.name = y.name AND (x.bag = y.bag OR length(y.title) >= 4 AND contains(' ' || x.title || ' ', ' ' || y.title || ' ') OR length(x.k) >= 4 AND length(y.k) >= 4 AND contains(x.k, y.k))),
+s AS (SELECT name, a, b FROM e UNION SELECT name, b, a FROM e),
+r AS (SELECT name, a, b FROM s UNION SELECT r.name, r.a, s.b FROM r JOIN s ON r.name = s.name AND r.b = s.a),
+m AS (SELECT DISTINCT name, min(b) AS title FROM r GROUP BY name, a)
+SELECT name, count(*)::INTEGER AS groups, array_to_string(list_slice(list_sort(list(title)), 1, 8), '|') AS titles FROM m GROUP BY name HAVING count(*) >= 3""".replace("\\\\", "\\"))
 def common_object_names(spark, sf_dir):
-    title = F.concat_ws(" ", "p_type", (F.col("p_partkey") % 3).cast("string"))
-    return resolve.common_objects(table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("name"), title.alias("title")))
+    title = F.expr(_TITLE.replace("p_name || ' no ' || p_size", "concat(p_name, ' no ', p_size)").replace("'a b ' || p_size", "concat('a b ', p_size)"))
+    name = F.concat_ws(" ", "p_brand", F.expr("p_size div 10").cast("string"))
+    found = resolve.common_objects(table(spark, sf_dir, "part").select(name.alias("name"), title.alias("title")))
+    return found.select("name", "groups", F.array_join("titles", "|").alias("titles"))

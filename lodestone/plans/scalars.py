@@ -82,12 +82,20 @@ def fan_and_units(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", codes.fan_percent(F.col("value"), F.lit(255)).alias("fan"), codes.ratio_suspect(F.col("value"), F.lit(20.0)).alias("suspect"))
 
 
-@query("generic_names", r"""
-SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'number' WHEN p_partkey % 4 = 1 THEN 'common word' WHEN p_partkey % 4 = 2 THEN 'numbered' END AS why FROM part""")
+_NOUN = "CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Part' WHEN 'widget' THEN 'stand' WHEN 'bolt' THEN 'Calibration Cube' WHEN 'gear' THEN 'mesh' ELSE split_part(p_name, ' ', 2) END"
+_OBJECT = f"""CASE p_type WHEN 'ECONOMY' THEN {_NOUN} WHEN 'SMALL' THEN concat({_NOUN}, '_', p_size) WHEN 'MEDIUM' THEN concat(' ', upper({_NOUN}), ' - ', p_size) WHEN 'LARGE' THEN concat(p_size, ' ')
+  WHEN 'PROMO' THEN '' ELSE concat(split_part(p_name, ' ', 1), ' ', {_NOUN}) END"""
+
+
+@query("generic_names", f"""
+WITH n AS (SELECT p_partkey, lower(trim({_OBJECT})) AS n FROM part), s AS (SELECT *, trim(regexp_replace(n, '[\\s\\-_.#]*[0-9]+$', '')) AS stem FROM n)
+SELECT p_partkey, CASE WHEN n = '' THEN 'empty' WHEN regexp_full_match(n, '[0-9]+') THEN 'number' WHEN n IN ('part', 'stand', 'calibration cube', 'mesh', 'plate') THEN 'common word' WHEN stem IN ('part', 'stand', 'calibration cube', 'mesh', 'plate') THEN 'numbered' END AS why,
+  CASE CASE WHEN n IN ('part', 'stand', 'calibration cube', 'mesh', 'plate') THEN n WHEN NOT regexp_full_match(n, '[0-9]*') THEN stem END
+    WHEN 'part' THEN 'part' WHEN 'stand' THEN 'accessory' WHEN 'calibration cube' THEN 'test print' WHEN 'mesh' THEN 'default name' WHEN 'plate' THEN 'build plate' END AS reason
+FROM s""".replace("\\\\", "\\"))
 def generic_names(spark, sf_dir):
-    n = F.col("p_partkey").cast("string")
-    name = F.when(F.col("p_partkey") % 4 == 0, n).when(F.col("p_partkey") % 4 == 1, "lid").when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("part_"), n)).otherwise(F.concat(F.lit("dragon"), n))
-    return table(spark, sf_dir, "part").select("p_partkey", titles.generic_object(name).alias("why"))
+    name = F.expr(_OBJECT)
+    return table(spark, sf_dir, "part").select("p_partkey", titles.generic_object(name).alias("why"), titles.generic_reason(name)["reason"].alias("reason"))
 
 
 #: Model, settings, compatible printers and code of files, and what they tell: family, brand, confidence, method, conflict.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, lineage, resolve, search
+from ..operators import graph, lineage, resolve, search, searchindex
 from ..sources import files
+from ..sources.storage import shared_folder, written
 from .registry import query
 from .tables import table
 
@@ -43,9 +46,9 @@ def title_normalise_subset(spark, sf_dir):
 
 
 @query("camel_split_words", r"""
-SELECT p_partkey, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(replace(p_type, ' ', '') || 'STLFile' || p_size, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')), '[a-z0-9]+') AS words FROM part""")
+SELECT p_partkey, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(replace(p_type, ' ', '') || 'STLFile' || p_size || 'Final', '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([0-9])([A-Za-z]{2,})', '\1 \2', 'g')), '[a-z0-9]+') AS words FROM part""")
 def camel_split_words(spark, sf_dir):
-    raw = F.concat(F.replace("p_type", F.lit(" "), F.lit("")), F.lit("STLFile"), F.col("p_size").cast("string"))
+    raw = F.concat(F.replace("p_type", F.lit(" "), F.lit("")), F.lit("STLFile"), F.col("p_size").cast("string"), F.lit("Final"))
     return table(spark, sf_dir, "part").select("p_partkey", text.words(text.camel_split(raw)).alias("words"))
 
 
@@ -60,8 +63,40 @@ def search_forms(spark, sf_dir):
 WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS w FROM part)
 SELECT p_partkey FROM w GROUP BY p_partkey HAVING bool_or(w LIKE 'st%') AND bool_or(w LIKE 'b%')""".replace("bool_or(w LIKE 'b%')", "bool_or(w LIKE 'br%')"))
 def search_prefix_and(spark, sf_dir):
-    posts = search.postings(table(spark, sf_dir, "part"), "p_partkey", F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.lower("p_brand")))
-    return search.search(posts, "p_partkey", "St br")
+    """Built by the first search of a table, kept for all later ones."""
+    index = searchindex.kept(table(spark, sf_dir, "part"), "parts", "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    return index.search("St br").select(F.col("key").cast("bigint").alias("p_partkey"))
+
+
+_FOUND = """
+SELECT '{step}' AS step, p_partkey FROM {rows} t GROUP BY p_partkey HAVING bool_or(w LIKE 'sm%') AND bool_or(w LIKE 'ri%') OR bool_or(w LIKE 'smri%')
+UNION ALL SELECT '{step}, joined', p_partkey FROM {rows} t GROUP BY p_partkey HAVING bool_or(w LIKE 'small%') AND bool_or(w LIKE 'bo%') OR bool_or(w LIKE 'smallbo%')"""
+_WORDS = "SELECT p_partkey, unnest(string_split({text}, ' ')) AS w FROM part"
+
+
+@query("search_index_changes", f"""
+WITH built AS ({_WORDS.format(text="lower(p_name || ' ' || p_type)")}),
+  turned AS (SELECT p_partkey, unnest(CASE WHEN p_size % 7 = 0 THEN [split_part(lower(p_name), ' ', 2), lower(p_type), 'smallboat'] ELSE list_concat(string_split(lower(p_name), ' '), [lower(p_type)]) END) AS w FROM part),
+  cut AS (SELECT * FROM turned WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice > 1500))
+{_FOUND.format(step="built", rows="built")} UNION ALL {_FOUND.format(step="changed", rows="turned")} UNION ALL {_FOUND.format(step="cut", rows="cut")} UNION ALL {_FOUND.format(step="merged", rows="cut")}""")
+def search_index_changes(spark, sf_dir):
+    """An index of all parts, then with a batch of new texts in place of old ones, without deleted parts, and merged: what two searches find each time."""
+    part = table(spark, sf_dir, "part")
+    index = searchindex.SearchIndex(spark, f"{shared_folder(spark)}/search-changes-{uuid.uuid4().hex}")
+
+    def found(step):
+        each = [index.search(text).select(F.lit(name).alias("step"), F.col("key").cast("bigint").alias("p_partkey")) for name, text in ((step, "SM ri"), (f"{step}, joined", "Smáll bo"))]
+        return written(each[0].unionByName(each[1]), "found")  # before the next change
+
+    index.add(part, "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
+    out = [found("built")]
+    index.add(part.where("p_size % 7 = 0"), "p_partkey", F.concat_ws(" ", F.split("p_name", " ")[1], "p_type", F.lit("smallboat")))
+    out.append(found("changed"))
+    index.delete(part.where("p_retailprice > 1500"), "p_partkey")
+    out.append(found("cut"))
+    index.compact(whole=True)
+    out.append(found("merged"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("page_title_extract", r"""
@@ -144,6 +179,31 @@ def constrained_clusters(spark, sf_dir):
     return clusters
 
 
+@query("assigned_models", """
+WITH RECURSIVE k AS (SELECT o_orderkey AS key, o_custkey AS cluster, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS t FROM orders),
+size AS (SELECT cluster, count(*) AS size, min(key) AS first FROM k GROUP BY 1),
+pinned AS (SELECT cluster, min(5000000 + cluster // 5) AS model FROM k WHERE t > 400000 GROUP BY 1),
+claim AS (SELECT cluster, cluster // 2 AS model FROM k WHERE p NOT LIKE '5%' UNION ALL SELECT cluster, 1000000 + cluster // 3 FROM k WHERE s = 'O'),
+cand AS (SELECT cluster, model, row_number() OVER (ORDER BY n DESC, first, model) AS rn
+  FROM (SELECT cluster, model, count(*) AS n FROM claim WHERE cluster NOT IN (SELECT cluster FROM pinned) GROUP BY 1, 2) JOIN size USING (cluster) WHERE n * 2 >= size),
+g(rn, done, taken) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT c.rn, CASE WHEN list_contains(done, cluster) OR list_contains(taken, model) THEN done ELSE list_append(done, cluster) END,
+         CASE WHEN list_contains(done, cluster) OR list_contains(taken, model) THEN taken ELSE list_append(taken, model) END
+  FROM g JOIN cand c ON c.rn = g.rn + 1),
+last AS (SELECT done, taken FROM g ORDER BY rn DESC LIMIT 1),
+won AS (SELECT unnest(done) AS cluster, unnest(taken) AS model FROM last UNION ALL SELECT cluster, model FROM pinned)
+SELECT cluster, coalesce(model::VARCHAR, 'new-' || substr(sha1(cluster::VARCHAR), 1, 16)) AS model, model IS NULL AS created FROM size LEFT JOIN won USING (cluster)""")
+def assigned_models(spark, sf_dir):
+    """Orders grouped by customer; what owned them before makes neighbours compete for a model, second choices included."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("cluster"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    half = F.expr("cluster div 2")
+    owned = rows.select("key", half.alias("model")).unionByName(rows.where("o_orderstatus = 'O'").select("key", F.expr("1000000 + cluster div 3").alias("model")))
+    pins = rows.where("o_totalprice > 400000").select("key", F.expr("5000000 + cluster div 5").alias("model"))
+    return resolve.assigned(rows.select("key", "cluster"), pins, rows.where("o_orderpriority LIKE '5%'").select("key", half.alias("model")), owned)
+
+
 @query("containment_unique_hits", "SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) = 1 AS \"unique\" FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def containment_unique_hits(spark, sf_dir):
     return search.contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id").select("item_id", "doc_id", "unique")

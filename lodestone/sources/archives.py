@@ -1,127 +1,331 @@
-"""Archives: bounded directory and entry reading, and the facts of 3MF projects."""
+"""Tables of archives: their directories, their entries' hashes, and the facts of 3MF projects.
+
+Files are read by ranges where they lie, or from a column that holds them. What
+cannot be read comes out as a row with its error.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import re
-import zipfile
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-ENTRIES_MOST, ENTRY_MOST = 20_000, 64 << 20
-WANTED = re.compile(r"3D/3dmodel\.model|Metadata/(project_settings\.config|model_settings\.config|slice_info\.config|plate_\d+\.(gcode\.md5|png|json))", re.I)
+from .zipped import Archive, ArchiveError, Entry
 
+# Entries that are read, by what they hold, and how large they may be.
+MODEL, SETTINGS, PARTS, SLICED = "3D/3dmodel.model", "Metadata/project_settings.config", "Metadata/model_settings.config", "Metadata/slice_info.config"
+SLIC3R = "Metadata/Slic3r_PE.config"
+COVER = "Auxiliaries/.thumbnails/thumbnail_3mf.png"
+PLATE_ENTRY = re.compile(r"Metadata/plate_(\d+)(\.gcode|\.png|_small\.png)")
+SETTINGS_MOST, MD5_MOST, PICTURE_MOST, ADDED_PICTURE_MOST = 16 << 20, 1024, 2 << 20, 300 << 10
+MESH_NAME = re.compile(r"\.(stl|obj|step|stp|3mf|amf|ply)$", re.I)
 
-def entries(data: bytes) -> list[dict]:
-    """Directory of a zip file: name, size, crc. A broken or too large one raises ValueError."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            infos = archive.infolist()
-    except (zipfile.BadZipFile, NotImplementedError, OverflowError) as error:
-        raise ValueError(str(error)) from error
-    if len(infos) > ENTRIES_MOST:
-        raise ValueError(f"more than {ENTRIES_MOST} entries")
-    return [{"name": i.filename, "size": i.file_size, "crc": i.CRC} for i in infos]
 
+def _opened(row: tuple) -> Archive:
+    path, size, content = row
+    if content is not None:
+        return Archive.of(bytes(content))
+    if size is None:
+        raise ArchiveError("no content")
+    system, place = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else FileSystem.from_uri("file://" + path)
+    file = system.open_input_file(place)
+    return Archive(lambda at, n: file.read_at(n, at), int(size))
+
+
+def _table(files: DataFrame, key: str, content: str | None, of: Callable[[Archive], list[dict]], schema: str) -> DataFrame:
+    """The rows that ``of`` makes of each archive beside the key; ``error`` alone where it cannot be read."""
+    kind = files.schema[key].dataType.simpleString()
+    names = StructType.fromDDL(schema).names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in zip(frame["p"], frame["n"], frame["c"], strict=True):
+                archive = None
+                try:
+                    archive = _opened(tuple(None if v is None or v != v else v for v in row))
+                    rows = of(archive)
+                except (ValueError, OSError) as error:
+                    rows = [{"error": str(error)}]
+                for r in rows:
+                    r |= {"key": row[0], "bytes_read": archive.bytes_read if archive else 0}
+                yield pd.DataFrame(rows, columns=["key", *names, "bytes_read"]).astype(object).where(lambda f: f.notna(), None)
+
+    size = F.col("size").cast("bigint") if "size" in files.columns else F.lit(None).cast("bigint")
+    told = files.select(F.col(key).alias("p"), size.alias("n"), (F.col(content) if content else F.lit(None).cast("binary")).alias("c"))
+    return told.mapInPandas(run, f"key {kind}, {schema}, bytes_read bigint").withColumnRenamed("key", key)
+
+
+def directories(files: DataFrame, key: str = "path", content: str | None = None) -> DataFrame:
+    """(key, name, size, packed, crc, method, encrypted, zip64, error, bytes_read): every entry of every archive, from its directory alone.
+
+    files: path and size, whose bytes are read by ranges, or a column with the
+    content. An empty archive gives no row, one that cannot be read one with
+    ``error``. ``bytes_read`` is what its archive took so far.
+    """
+    of = lambda archive: [e._asdict() | {"error": None} for e in archive.entries.values() if not e.is_folder]
+    return _table(files, key, content, of, "name string, size bigint, packed bigint, crc bigint, method int, encrypted boolean, zip64 boolean, error string")
+
+
+def _hashed(archive: Archive) -> list[dict]:
+    rows = []
+    for e in archive.entries.values():
+        if not e.is_folder:
+            made, error = hashlib.sha256(), None
+            try:
+                for chunk in archive.chunks(e):
+                    made.update(chunk)
+            except ArchiveError as problem:
+                error = str(problem)
+            rows.append({"name": e.name, "size": e.size, "crc": e.crc, "sha256": None if error else made.hexdigest(), "error": error})
+    return rows
+
+
+def with_entries(files: DataFrame, key: str = "path", content: str | None = "content") -> DataFrame:
+    """(key, name, size, crc, sha256, error, bytes_read) of every entry, inflated in chunks whatever its size; an entry that cannot be read has only its error."""
+    return _table(files, key, content, _hashed, "name string, size bigint, crc bigint, sha256 string, error string")
+
+
+class _Xml:
+    """Feeds an entry's chunks to a parser that tells elements as they begin and end, with their path; stops where it is told to."""
+
+    def __init__(self, begin: Callable[[list[str], dict], None], end: Callable[[list[str], str], None], stop: str | None = None):
+        self.path: list[str] = []
+        self.text: list[str] = []
+        self.done = False
+        parser = self.parser = expat.ParserCreate()
+        parser.buffer_text = True
+
+        def started(name: str, attributes: dict) -> None:
+            self.path.append(name)
+            self.text = []
+            self.done = self.done or name == stop
+            begin(self.path, attributes)
+
+        def ended(name: str) -> None:
+            end(self.path, "".join(self.text))
+            self.path.pop()
+            self.text = []
+
+        parser.StartElementHandler, parser.EndElementHandler = started, ended
+        parser.CharacterDataHandler = lambda text: self.text.append(text) if self.path and self.path[-1] == "metadata" else None
+
+    def feed(self, chunks: Iterator[bytes]) -> None:
+        for chunk in chunks:
+            self.parser.Parse(chunk, False)
+            if self.done:
+                return
+        self.parser.Parse(b"", True)
+
+
+def _model_facts() -> tuple[dict, _Xml]:
+    """A project's own metadata, which stands before its meshes: reading ends where these begin."""
+    facts: dict[str, str] = {}
+    name = [""]
+
+    def begin(path: list[str], attributes: dict) -> None:
+        if path[-1] == "metadata":
+            name[0] = attributes.get("name", "")
+
+    def end(path: list[str], text: str) -> None:
+        if path[-1] == "metadata" and name[0]:
+            facts[name[0]] = text.strip()
+
+    return facts, _Xml(begin, end, "resources")
 
-def read_entry(data: bytes, name: str, most: int = ENTRY_MOST) -> bytes:
-    """An entry's bytes, checked by length and CRC; never more than ``most``, whatever the directory claims."""
+
+def _parts_facts() -> tuple[dict, _Xml]:
+    """Objects with their parts, and plates with the objects on them."""
+    facts: dict[str, list[dict]] = {"objects": [], "plates": []}
+    lists = {"object": "objects", "plate": "plates"}
+
+    def begin(path: list[str], attributes: dict) -> None:
+        kind = path[-1]
+        owner = next((p for p in reversed(path) if p in ("object", "plate", "part", "model_instance")), None)
+        if kind in lists:
+            facts[lists[kind]].append({"id": attributes.get("id"), "meta": {}, "part": [], "model_instance": []})
+        elif kind == "part" and "object" in path:
+            facts["objects"][-1]["part"].append({})
+        elif kind == "model_instance" and "plate" in path:
+            facts["plates"][-1]["model_instance"].append({})
+        elif kind == "metadata" and owner and "key" in attributes:
+            holder = facts["objects" if "object" in path else "plates"][-1]
+            of = holder["meta"] if owner in lists else holder[owner][-1]
+            of.setdefault(attributes["key"], attributes.get("value"))
+
+    return facts, _Xml(begin, lambda path, text: None)
+
+
+def _sliced_facts() -> tuple[dict, _Xml]:
+    """What the slicer tells of each plate that it sliced."""
+    facts: dict = {"plates": [], "client": None}
+
+    def begin(path: list[str], attributes: dict) -> None:
+        kind = path[-1]
+        if kind == "header_item" and attributes.get("key") == "X-BBL-Client-Version":
+            facts["client"] = attributes.get("value") or None
+        elif kind == "plate":
+            facts["plates"].append({"meta": {}, "filament": [], "object": []})
+        elif "plate" in path and kind in ("filament", "object"):
+            facts["plates"][-1][kind].append(dict(attributes))
+        elif "plate" in path and kind == "metadata" and "key" in attributes:
+            facts["plates"][-1]["meta"][attributes["key"]] = attributes.get("value")
+
+    return facts, _Xml(begin, lambda path, text: None)
+
+
+def flavour(application: str | None, names: set[str], printer: str | None) -> tuple[str, str]:
+    """What wrote a project, and by what that is told: the application that it names, the form of its version, or a file."""
+    app = (application or "").strip().lower()
+    if re.match(r"orca\s*slicer", app):
+        return "orca", "application"
+    for word, kind in (("snapmaker", "snapmaker_orca"), ("creality", "creality"), ("prusa", "prusa"), ("slic3r", "prusa")):
+        if word in app:
+            return kind, "application"
+    if SLIC3R in names:
+        return "prusa", "application" if app else "slic3r_config"
+    own = re.match(r"bambu\s*studio-(.+)$", app)
+    if not own:
+        return "other", "unrecognised_application" if app else "no_application"
+    if re.fullmatch(r"\d\d(\.\d\d){3}", own[1]):
+        return "bambu", "application_version_form"
+    if re.fullmatch(r"\d+\.\d+\.\d+", own[1]) and "snapmaker" in (printer or "").lower():
+        return "snapmaker_orca", "bambu_name_three_part_version+snapmaker_printer"
+    return "other", "bambu_name_unknown_fork"
+
+
+def picture_kind(data: bytes) -> str | None:
+    """The kind of a picture by its first bytes."""
+    for kind, begins in (("image/png", data.startswith(b"\x89PNG")), ("image/jpeg", data.startswith(b"\xff\xd8")), ("image/webp", data[:4] == b"RIFF" and data[8:12] == b"WEBP"), ("image/gif", data.startswith(b"GIF"))):
+        if begins:
+            return kind
+    return None
+
+
+def _number(value) -> float | None:
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive, archive.open(name) as entry:
-            out = entry.read(most + 1)
-    except (zipfile.BadZipFile, KeyError, NotImplementedError, zlib.error, EOFError) as error:
-        raise ValueError(str(error)) from error
-    if len(out) > most:
-        raise ValueError(f"{name} holds more than {most} bytes")
-    return out
+        return float(value[0] if isinstance(value, list) else value)
+    except (TypeError, ValueError, IndexError):
+        return None
+
 
+def _is_added(name: str) -> bool:
+    """Whether a person put it into the project: no cached picture of the program's."""
+    return name.startswith("Auxiliaries/") and "/." not in name
 
-def _attributes(xml: str, tag: str) -> list[dict[str, str]]:
-    return [dict(re.findall(r'([\w:]+)="([^"]*)"', m)) for m in re.findall(rf"<{tag}\b([^>]*)>", xml)]
 
+class _Reader:
+    """Entries of one project, with what went wrong in ``problems``."""
 
-def _metadata(xml: str, name: str) -> str | None:
-    m = re.search(rf'<metadata[^>]*name="{name}"[^>]*>(.*?)</metadata>', xml, re.S)
-    return (m[1].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&").strip() or None) if m else None
+    def __init__(self, archive: Archive):
+        self.archive, self.problems = archive, []
 
+    def bytes_of(self, name: str, most: int) -> bytes | None:
+        if name not in self.archive.entries:
+            return None
+        try:
+            return self.archive.read(name, most)
+        except ArchiveError as error:
+            self.problems.append({"entry": name, "error": str(error)})
+            return None
 
-def flavour(names: list[str], generator: str | None) -> tuple[str, str]:
-    """What wrote a project, and by what that is told: its application, its files, or nothing."""
-    for word in ("BambuStudio", "OrcaSlicer", "Snapmaker", "Creality", "PrusaSlicer"):
-        if generator and word.lower() in generator.lower():
-            return word, "application"
-    if any(n.startswith("Metadata/Slic3r_PE") for n in names):
-        return "PrusaSlicer", "files"
-    return ("BambuStudio", "files") if any(n == "Metadata/project_settings.config" for n in names) else ("unknown", "none")
+    def facts(self, name: str, told: tuple[dict, _Xml], most: int | None = None) -> dict:
+        """What a parser finds in an entry; up to the fault in one that is broken."""
+        entry: Entry | None = self.archive.entries.get(name)
+        facts, parser = told
+        if entry is not None:
+            try:
+                if most is not None and entry.size > most:
+                    raise ArchiveError(f"{entry.size} bytes are more than {most}")
+                # One whose reading ends early may be larger than what is read of others.
+                parser.feed(self.archive.chunks(entry, None if most is not None else entry.size))
+            except (ArchiveError, expat.ExpatError) as error:
+                self.problems.append({"entry": name, "error": str(error)})
+        return facts
 
 
-def project(data: bytes) -> dict:
-    """Facts of a 3MF project; parts that are missing or broken are left out."""
-    names = [e["name"] for e in entries(data)]
-    wanted = {n: read_entry(data, n) for n in names if WANTED.fullmatch(n)}
-    text = lambda n: next((v.decode("utf-8", "replace") for k, v in wanted.items() if k.lower() == n.lower()), "")
-    model, slice_info, parts = text("3D/3dmodel.model")[:262_144], text("Metadata/slice_info.config"), text("Metadata/model_settings.config")
+def project(archive: Archive) -> dict:
+    """Facts of a 3MF project; what is missing or broken is left out, the latter with a row in ``problems``."""
+    reader, names = _Reader(archive), {n for n, e in archive.entries.items() if not e.is_folder}
+    model = reader.facts(MODEL, _model_facts())
+    parts = reader.facts(PARTS, _parts_facts(), SETTINGS_MOST)
+    sliced = reader.facts(SLICED, _sliced_facts(), SETTINGS_MOST)
     try:
-        settings = json.loads(text("Metadata/project_settings.config") or "{}")
-    except ValueError:
+        settings = json.loads(reader.bytes_of(SETTINGS, SETTINGS_MOST) or b"{}")
+    except ValueError as error:
         settings = {}
-    kind, basis = flavour(names, _metadata(model, "Application"))
-    plates = []
-    for n, block in enumerate(re.findall(r"<plate>(.*?)</plate>", slice_info, re.S), 1):
-        meta = {a.get("key"): a.get("value") for a in _attributes(block, "metadata")}
-        number = int(meta.get("index") or n)
-        filaments = [{"i": int(a.get("id", 0)), "hex": a.get("color", "")[:7].upper(), "type": a.get("type"), "g": float(a.get("used_g") or 0)} for a in _attributes(block, "filament")]
-        md5 = text(f"Metadata/plate_{number}.gcode.md5").strip().lower() or None
-        plates.append({"plate_no": number, "seconds": int(float(meta.get("prediction") or 0)), "weight_g": float(meta.get("weight") or 0), "gcode_md5": md5, "filaments": filaments, "objects": sorted({a["name"] for a in _attributes(block, "object") if "name" in a})})
-    objects = sorted({a["value"] for a in _attributes(parts, "metadata") if a.get("key") == "name" and a.get("value")})
+        reader.problems.append({"entry": SETTINGS, "error": f"not JSON: {error}"})
+    settings = settings if isinstance(settings, dict) else {}
+    text = lambda key: str(settings[key]) if settings.get(key) else None
+    kind, basis = flavour(model.get("Application"), names, text("printer_model"))
+    named = {o["id"]: o["meta"].get("name") for o in parts["objects"]}
+    on_plate = {int(p["meta"]["plater_id"]): p for p in parts["plates"] if (p["meta"].get("plater_id") or "").isdigit()}
+    told = {int(p["meta"]["index"]): p for p in sliced["plates"] if (p["meta"].get("index") or "").isdigit()}
+    numbers = set(on_plate) | set(told) | {int(m[1]) for n in names if (m := PLATE_ENTRY.fullmatch(n))}
+    plates = [_plate(reader, number, on_plate.get(number), told.get(number), named) for number in sorted(numbers)]
+    copies: dict[str, int] = {}
+    for p in parts["plates"]:
+        for i in p["model_instance"]:
+            copies[i.get("object_id")] = copies.get(i.get("object_id"), 0) + 1
+    pieces = [p for o in parts["objects"] for p in o["part"]]
+    cover = next((p["picture"] for p in plates if p["picture"]), None)
+    if cover is None and COVER in names and picture_kind(reader.bytes_of(COVER, PICTURE_MOST) or b""):
+        cover = COVER
+    distinct = lambda values: list(dict.fromkeys(v for v in values if v))
     return {
-        "flavour": kind, "flavour_basis": basis, "title": _metadata(model, "Title"), "designer": _metadata(model, "Designer"), "license": _metadata(model, "License"), "design_model_id": _metadata(model, "DesignModelId"),
-        "printer_model": settings.get("printer_model") if isinstance(settings, dict) else None, "objects": objects, "plates": plates, "pictures": sorted(n for n in names if n.lower().endswith(".png")), "error": None,
+        "flavour": kind, "flavour_basis": basis, "application": model.get("Application") or None, "client_version": sliced["client"],
+        "title": model.get("Title") or None, "designer": model.get("Designer") or None, "license": model.get("License") or None, "design_model_id": model.get("DesignModelId") or None,
+        "printer_model": text("printer_model"), "layer_height": _number(settings.get("layer_height")),
+        "objects": [{"id": o["id"], "name": o["meta"].get("name"), "copies": copies.get(o["id"], 0), "parts": distinct(p.get("name") for p in o["part"])} for o in parts["objects"]],
+        "source_files": distinct(p.get("source_file") for p in pieces), "mesh_names": distinct(p["name"] for p in pieces if MESH_NAME.search(p.get("name") or "")),
+        "plates": plates, "cover": cover, "auxiliaries": [_added(reader, archive.entries[n]) for n in sorted(names) if _is_added(n)], "problems": reader.problems, "error": None,
     }
 
 
-_SCHEMA = (
-    "flavour string, flavour_basis string, title string, designer string, license string, design_model_id string, printer_model string, objects array<string>, "
-    "plates array<struct<plate_no:int,seconds:bigint,weight_g:double,gcode_md5:string,filaments:array<struct<i:int,hex:string,type:string,g:double>>,objects:array<string>>>, pictures array<string>, error string"
-)
-_NAMES = ["flavour", "flavour_basis", "title", "designer", "license", "design_model_id", "printer_model", "objects", "plates", "pictures", "error"]
+def _plate(reader: _Reader, number: int, laid: dict | None, told: dict | None, named: dict) -> dict:
+    entries = reader.archive.entries
+    gcode = f"Metadata/plate_{number}.gcode"
+    md5 = (reader.bytes_of(f"{gcode}.md5", MD5_MOST) or b"").decode("latin-1").strip().lower()
+    small = [n for n in (f"Metadata/plate_{number}_small.png", f"Metadata/plate_{number}.png") if n in entries and entries[n].size <= PICTURE_MOST][:1]
+    meta = told["meta"] if told else {}
+    seconds = _number(meta.get("prediction"))
+    return {
+        "plate_no": number, "name": (laid["meta"].get("plater_name") or None) if laid else None, "sliced": gcode in entries,
+        "objects": [name for i in (laid["model_instance"] if laid else []) if (name := named.get(i.get("object_id")))],
+        "sliced_objects": [o["name"] for o in (told["object"] if told else []) if o.get("name")],
+        "seconds": None if seconds is None else int(seconds), "weight_g": _number(meta.get("weight")),
+        "gcode_md5": md5 if re.fullmatch("[0-9a-f]{32}", md5) else None, "gcode_size": entries[gcode].size if gcode in entries else None,
+        "picture": small[0] if small and picture_kind(reader.bytes_of(small[0], PICTURE_MOST) or b"") else None,
+        "filaments": [{"i": int(_number(f.get("id")) or 0) or None, "type": f.get("type"), "hex": (f.get("color") or "")[:7].upper() or None, "g": _number(f.get("used_g")), "m": _number(f.get("used_m"))} for f in (told["filament"] if told else [])],
+    }
 
 
-def with_projects(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, facts...) of 3MF files; a file that cannot be read has only ``error``."""
-    kind = files.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, data in zip(frame["k"], frame["c"], strict=True):
-                try:
-                    rows.append({"k": k, **project(bytes(data or b""))})
-                except ValueError as error:
-                    rows.append({"k": k, "error": str(error)})
-            yield pd.DataFrame(rows, columns=["k", *_NAMES]).astype(object).where(lambda f: f.notna(), None)
+def _added(reader: _Reader, entry: Entry) -> dict:
+    is_small_picture = re.search(r"\.(png|jpe?g|webp|gif)$", entry.name, re.I) and entry.size <= ADDED_PICTURE_MOST
+    data = reader.bytes_of(entry.name, ADDED_PICTURE_MOST) if is_small_picture else None
+    return {"entry": entry.name, "name": entry.name.rsplit("/", 1)[-1], "size": entry.size, "crc": entry.crc, "picture": picture_kind(data) if data else None}
 
-    return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"k {kind}, {_SCHEMA}").withColumnRenamed("k", key)
 
+_SCHEMA = (
+    "flavour string, flavour_basis string, application string, client_version string, title string, designer string, license string, design_model_id string, printer_model string, layer_height double, "
+    "objects array<struct<id:string,name:string,copies:int,parts:array<string>>>, source_files array<string>, mesh_names array<string>, "
+    "plates array<struct<plate_no:int,name:string,sliced:boolean,objects:array<string>,sliced_objects:array<string>,seconds:bigint,weight_g:double,gcode_md5:string,gcode_size:bigint,picture:string,"
+    "filaments:array<struct<i:int,type:string,hex:string,g:double,m:double>>>>, "
+    "cover string, auxiliaries array<struct<entry:string,name:string,size:bigint,crc:bigint,picture:string>>, problems array<struct<entry:string,error:string>>, error string"
+)
 
-def with_entries(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, name, size, crc, sha256) of every entry of readable archives."""
-    kind = files.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, data in zip(frame["k"], frame["c"], strict=True):
-                try:
-                    rows += [(k, e["name"], e["size"], e["crc"], hashlib.sha256(read_entry(bytes(data), e["name"])).hexdigest()) for e in entries(bytes(data)) if not e["name"].endswith("/")]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["k", "name", "size", "crc", "sha256"])
+def with_projects(files: DataFrame, key: str = "path", content: str | None = "content") -> DataFrame:
+    """(key, facts..., error, bytes_read) of 3MF files; one that cannot be read has only ``error``.
 
-    return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"k {kind}, name string, size bigint, crc bigint, sha256 string").withColumnRenamed("k", key)
+    Meshes are never read: the model's metadata come first, and reading stops
+    there. Entries that are broken or too large are named in ``problems``.
+    """
+    return _table(files, key, content, lambda archive: [project(archive)], _SCHEMA)
