@@ -216,8 +216,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, unescaped, in order."""
-    pieces = _pieces(formatted)
-    return F.transform(loss, lambda s: unescaped(F.substring(F.get(pieces, s["turn"]), s["start"] + 1, s["length"])))
+    under = lambda pieces: F.transform(loss, lambda s: unescaped(F.substring(F.get(pieces, s["turn"]), s["start"] + 1, s["length"])))
+    return F.get(F.transform(F.array(_pieces(formatted)), under), F.lit(0))  # parted once, not for every span
 
 
 def _pieces(formatted: Column) -> Column:
