@@ -22,7 +22,7 @@ from .vocab import ranks as load_ranks
 
 
 #: Ids that the decoder takes at once.
-RUN = 64
+RUN = 1 << 16
 
 
 class MergeTransducer:
@@ -186,17 +186,48 @@ _MOVES = [row.tolist() for row in _utf8_moves()]
 _REPLACED = "\ufffd".encode()
 
 
+def _advance(waiting: bytes, new: bytes) -> tuple[bytes, bytes]:
+    """(out, waiting): the machine over bytes, begun after those of a character that is not whole yet."""
+    if not waiting and new.isascii():
+        return new, b""
+    state = START
+    for byte in waiting:
+        state = _MOVES[state][byte]
+    raw, whole, parts, begin = waiting + new, 0, [], 0
+    for at in range(len(waiting), len(raw)):
+        to = _MOVES[state][raw[at]]
+        if to == FAULT and state != START:  # what was open is no character; this byte may begin one
+            parts.append(raw[begin:whole] + _REPLACED)
+            begin = whole = at
+            to = _MOVES[START][raw[at]]
+        if to == FAULT:
+            parts.append(raw[begin:at] + _REPLACED)
+            begin, to = at + 1, START
+        state = to
+        if state == START:
+            whole = at + 1
+    return b"".join([*parts, raw[begin:whole]]), raw[whole:]
+
+
 class StreamDecoder:
     """Ids to UTF-8 as they arrive, by a state machine over the bytes.
 
     Only whole characters come out: one cut by a token border waits for the rest
     of its bytes. What is no UTF-8 comes out as the replacement character, one
-    for each longest beginning of a character.
+    for each longest beginning of a character. The machine's way through a token
+    is walked once from each state that the token is met in and kept: an id then
+    takes one look-up, and ids that end where they begin are joined at once.
     """
 
+    #: Ways kept besides those from between characters.
+    most_steps = 1 << 18
+
     def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
-        self.state, self.waiting = START, b""
+        self.tokens, self.waiting = tokens, b""
+        self.begun = [_advance(b"", t) for t in tokens]
+        self.out = [out for out, _ in self.begun]
+        self.closed = np.array([not waiting for _, waiting in self.begun], bool)
+        self.steps: dict[tuple[bytes, int], tuple[bytes, bytes]] = {}
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> StreamDecoder:
@@ -205,31 +236,38 @@ class StreamDecoder:
             tokens[rank] = token
         return cls(tokens)
 
+    def _step(self, waiting: bytes, i: int) -> tuple[bytes, bytes]:
+        if not waiting:
+            return self.begun[i]
+        step = self.steps.get((waiting, i))
+        if step is None:
+            if len(self.steps) >= self.most_steps:
+                self.steps.clear()
+            step = self.steps[waiting, i] = _advance(waiting, self.tokens[i])
+        return step
+
     def feed(self, ids: Iterable[int]) -> bytes:
         """The bytes of all characters that these ids end."""
-        new = b"".join([self.tokens[i] for i in ids])
-        if self.state == START and new.isascii():
-            return new
-        raw, state, whole, parts, begin = self.waiting + new, self.state, 0, [], 0
-        for at in range(len(self.waiting), len(raw)):
-            to = _MOVES[state][raw[at]]
-            if to == FAULT and state != START:  # what was open is no character; this byte may begin one
-                parts.append(raw[begin:whole] + _REPLACED)
-                begin = whole = at
-                to = _MOVES[START][raw[at]]
-            if to == FAULT:
-                parts.append(raw[begin:at] + _REPLACED)
-                begin, to = at + 1, START
-            state = to
-            if state == START:
-                whole = at + 1
-        self.state, self.waiting = state, raw[whole:]
-        return b"".join([*parts, raw[begin:whole]])
+        ids = ids if isinstance(ids, np.ndarray) else np.array(list(ids), np.int64)
+        list_, parts, at = ids.tolist(), [], 0
+        for next_ in [*np.flatnonzero(~self.closed[ids]).tolist(), len(list_)]:
+            while self.waiting and at < len(list_):  # up to the end of the open character
+                out, self.waiting = self._step(self.waiting, list_[at])
+                parts.append(out)
+                at += 1
+            if at <= next_:
+                parts += map(self.out.__getitem__, list_[at:next_])
+                at = next_
+                if at < len(list_):
+                    out, self.waiting = self._step(b"", list_[at])
+                    parts.append(out)
+                    at += 1
+        return b"".join(parts)
 
     def finish(self) -> bytes:
         """What a character that never ended leaves; the decoder is as new afterwards."""
         out = _REPLACED if self.waiting else b""
-        self.state, self.waiting = START, b""
+        self.waiting = b""
         return out
 
 
@@ -239,7 +277,7 @@ class _Worker:
         self.cache = PieceCache(MergeTransducer(table).encode)
         self.decoder = StreamDecoder.of(table)
 
-    def decoded(self, ids: list[int]) -> bytes:
+    def decoded(self, ids: np.ndarray) -> bytes:
         """The text of a document's ids, which the decoder takes in runs."""
         out = [self.decoder.feed(ids[k : k + RUN]) for k in range(0, len(ids), RUN)]
         return b"".join([*out, self.decoder.finish()])
@@ -266,7 +304,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch, "t"):
                 ids, bounds = worker.cache.ids([t or "" for t in part.column("t").to_pylist()])
                 at = bounds.tolist()
-                decoded = [worker.decoded(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+                decoded = [worker.decoded(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("k"), lists, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
