@@ -4,7 +4,8 @@ Vectors are grouped by norm. A query's score in the longest vectors gives a
 score to beat; with a bucket's greatest norm it becomes a least cosine for the
 bucket. Above one, the bucket is left out; if high, vectors are pruned by the
 range that the cosine leaves to the query's largest coordinates, otherwise by
-their length; what stays is multiplied out.
+their length; what stays is multiplied out. Vectors are shuffled once, whatever
+the number of queries, which stream past a block of them.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions_for, stored
 from .vectors import dealt, matrix, to_all_blocks, usable, width_of
 
-BUCKETS, BLOCK, QUERIES, SEEDS = 32, 4096, 16_384, 2048
+BUCKETS, BLOCK, SEEDS = 32, 16_384, 2048
 #: From this local cosine on, coordinates prune; below it, lengths do. How many coordinates.
 COSINE, FOCUS = 0.25, 4
 
@@ -67,10 +68,11 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products, ties to the smaller id.
 
     Components become floor(scale * x) in double precision. Queries are the
-    rows where ``is_query`` holds, once for each id; candidates are all rows of
-    another id, so an id that comes up twice is never its own partner but may
-    be listed twice. Vectors that are null or hold null, NaN or infinity take
-    no part; shorter ones count as filled up with zeros. Fewer candidates than
+    rows where ``is_query`` holds, once for each id, of rows that share one the
+    least vector by its components; candidates are all rows of another id, so an
+    id that comes up twice is never its own partner but may be listed twice.
+    Rows without an id and vectors that are null or hold null, NaN or infinity
+    take no part; shorter ones count as filled up with zeros. Fewer candidates than
     ``k`` are all listed; an empty table gives no rows. Products must fit a long.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -101,29 +103,46 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         bucket = bucket + F.when(F.col("norm") < limit, 1).otherwise(0)
     members, blocks = dealt(items.select("id", "x", "norm", bucket.alias("bucket")), "bucket", "id", BLOCK, "block")
     longest = {r.bucket: r.most for r in members.groupBy("bucket").agg(F.max("norm").alias("most")).collect()}
-    asked = items.where("asks").dropDuplicates(["id"]).select("id", "x", "norm").mapInArrow(to_beat, "id bigint, x array<bigint>, norm double, beat double")
+    once = items.where("asks").groupBy("id").agg(F.min(F.struct("x", "norm")).alias("q")).select("id", "q.x", "q.norm")
+    asked = once.mapInArrow(to_beat, "id bigint, x array<bigint>, norm double, beat double")
     tops = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(most).alias("most")) for b, most in sorted(longest.items())]) if longest else F.array(F.struct(F.lit(0).alias("bucket"), F.lit(0.0).alias("most"))) 
     worth = F.filter(tops, lambda b: F.col("norm") * b["most"] >= F.col("beat") * F.lit(1 - 1e-12) - F.lit(1e-6))
     asked = asked.withColumn("bucket", F.explode(F.transform(worth, lambda b: b["bucket"])))
-    asked, parts = dealt(stored(asked, "asked"), "bucket", "id", QUERIES, "part")
-    members, asked = to_all_blocks(members, "bucket", parts, "part"), to_all_blocks(asked, "bucket", blocks, "block")
-
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            x, ids, sizes = matrix(left["x"], width), left["id"].to_numpy(), left["norm"].to_numpy()
-            unit = x / np.maximum(sizes, 1e-300)[:, None]
-            for q, own, beat in zip(matrix(right["x"], width), right["id"].to_pylist(), right["beat"].to_pylist(), strict=True):
-                stay = survivors(unit, sizes, q, beat)
-                stay = stay[ids[stay] != own]
-                if len(stay):
-                    score = scores(x[stay], q[None])[:, 0]
-                    at = best(score, ids[stay], k)
-                    out += [(own, int(i), int(s)) for i, s in zip(ids[stay][at], score[at], strict=True)]
+    asked = to_all_blocks(stored(asked, "asked"), "bucket", blocks, "block")
+    keys = ["bucket", "block", "kind"]
+    members = members.withColumns({"kind": F.lit(0), "beat": F.lit(None).cast("double")})
+    both = members.unionByName(asked.withColumn("kind", F.lit(1))).repartition(partitions_for(vectors), "bucket", "block").sortWithinPartitions(*keys)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []  # the block that is read, and its members
+        for batch in batches:
+            told = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+            cuts = [0, *(np.flatnonzero((told[1:] != told[:-1]).any(1)) + 1).tolist(), len(told)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                part, block = batch.slice(start, end - start), tuple(told[start, :2].tolist())
+                if block != here:
+                    here, held, block_of = block, [], None
+                if told[start, 2] == 0:
+                    held.append((matrix(part.column("x"), width), part.column("id").to_numpy(), part.column("norm").to_numpy()))
+                elif held:
+                    if block_of is None:
+                        block_of = [np.concatenate(list(c)) for c in zip(*held, strict=True)]
+                    yield ask(*block_of, part)
+
+    def ask(x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, queries: pa.RecordBatch) -> pa.RecordBatch:
+        unit, out = x / np.maximum(sizes, 1e-300)[:, None], []
+        for q, own, beat in zip(matrix(queries.column("x"), width), queries.column("id").to_pylist(), queries.column("beat").to_pylist(), strict=True):
+            stay = survivors(unit, sizes, q, beat)
+            stay = stay[ids[stay] != own]
+            if len(stay):
+                score = scores(x[stay], q[None])[:, 0]
+                at = best(score, ids[stay], k)
+                out += [(own, int(i), int(s)) for i, s in zip(ids[stay][at], score[at], strict=True)]
         a = np.array(out, np.int64).reshape(-1, 3)
-        return pa.table({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
+        return pa.RecordBatch.from_arrays([pa.array(a[:, c]) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    keys = ["bucket", "block", "part"]
-    found = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = both.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
