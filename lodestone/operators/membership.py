@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from .browse import first_by, most_common, ranked, top_within
 
 _CONFIDENCE = ("exact", "high", "medium", "low")
@@ -108,10 +111,23 @@ def model_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
 def protected_names(terms: DataFrame, members: DataFrame) -> DataFrame:
     """(terms, keys, models): generic terms that files of several models share, terms of exactly the same files as one case.
 
-    terms: term, key; members: key, model. The files of a term are told apart by
-    a hash of their sorted keys; each key is counted once a term.
+    terms: term, key; members: key, model. Each key is counted once a term. The
+    files of a term are never gathered: their number and sums and exclusive ors
+    of two hashes tell sets that may be equal, and joining those with the first
+    of them, file by file, tells whether they are.
     """
-    rows = terms.select("term", "key").distinct().join(members, "key", "left")
-    by_term = rows.groupBy("term").agg(F.sort_array(F.collect_set("key")).alias("ks"), F.count_distinct("model").alias("models"))
-    by_term = by_term.where((F.size("ks") > 1) & (F.col("models") > 1)).withColumn("_h", F.sha2(F.array_join("ks", ","), 256))
-    return by_term.groupBy("_h").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.first("ks").alias("ks"), F.max("models").alias("models")).select("terms", F.size("ks").alias("keys"), "models")
+    rows = written(terms.select("term", "key").where("term IS NOT NULL AND key IS NOT NULL").distinct(), "terms")
+    models = rows.join(members.select("key", "model").distinct(), "key").select("term", "model").distinct().groupBy("term").agg(F.count("model").alias("models")).where("models > 1")
+    one, other = F.xxhash64("key"), F.xxhash64("key", F.lit("other"))
+    total = lambda h: F.sum(h.cast("decimal(20,0)"))
+    told = rows.groupBy("term").agg(F.count("*").alias("keys"), F.struct(total(one), total(other), F.bit_xor(one), F.bit_xor(other)).alias("print")).where(F.col("keys") > 1)
+    left, cases = written(told.join(models, "term"), "prints"), []
+    while not left.isEmpty():
+        heads = left.join(left.groupBy("keys", "print").agg(F.min("term").alias("head")), ["keys", "print"])
+        pairs = heads.select("term", "head").where("term <> head")
+        met = rows.join(pairs, "term").join(rows.withColumnRenamed("term", "head"), ["head", "key"]).groupBy("term").agg(F.count("*").alias("met"))
+        tested = written(heads.join(met, "term", "left").withColumn("same", (F.col("term") == F.col("head")) | (F.coalesce("met", F.lit(0)) == F.col("keys"))), "cases")
+        cases.append(tested.where("same"))
+        left = tested.where("NOT same").select(*left.columns)  # two sets with one print: told apart in another round
+    found = reduce(DataFrame.unionByName, cases) if cases else left.withColumn("head", F.col("term"))
+    return found.groupBy("head").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.max("keys").alias("keys"), F.max("models").alias("models")).select("terms", "keys", "models")

@@ -1,4 +1,4 @@
-"""Queries over project archives, which the tables' orders are made into."""
+"""Queries over project archives, which the tables' orders are made into, and over keys of contents."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import rekey
 from ..sources import archives
 from .registry import query
 from .tables import table
@@ -18,7 +19,7 @@ _BY = {"F": "BambuStudio-02.06.00.51", "O": "OrcaSlicer-2.1.0", "P": ""}
 
 def _archive(row) -> bytes:
     """An order as a project: its lines are plates with one object each; the returned ones are sliced."""
-    lines = sorted(row.lines, key=lambda x: x["n"])
+    lines = [x | {"n": k} for k, x in enumerate(sorted(row.lines, key=lambda x: (x["n"], x["part"], x["quantity"], x["flag"])), 1)]
     objects = "".join(f'<object id="{x["n"]}"><metadata key="name" value="Part &amp; {x["part"]}"/><part><metadata key="name" value="{x["part"]}.{x["kind"]}"/><metadata key="source_file" value="{x["part"] % 10}.step"/></part></object>' for x in lines)
     laid = "".join(f'<plate><metadata key="plater_id" value="{x["n"]}"/>' + f'<model_instance><metadata key="object_id" value="{x["n"]}"/></model_instance>' * (1 + int(x["quantity"]) % 3) + "</plate>" for x in lines)
     told = "".join(
@@ -51,10 +52,11 @@ def _projects(spark, sf_dir):
         for frame in frames:
             yield pd.DataFrame({"order": frame["key"], "content": [_archive(row) for row in frame.itertuples()]})
 
-    return orders.mapInPandas(run, "order bigint, content binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return orders.repartition(parts, "key").mapInPandas(run, "order bigint, content binary")
 
 
-_LINES = "l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, l_quantity AS q, l_returnflag AS flag FROM lineitem), o AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS s, o_orderkey % 50 = 0 AS cut FROM orders WHERE o_orderkey IN (SELECT k FROM l))"
+_LINES = "l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS n, l_partkey AS part, l_quantity AS q, l_returnflag AS flag FROM lineitem), o AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS s, o_orderkey % 50 = 0 AS cut FROM orders WHERE o_orderkey IN (SELECT k FROM l))"
 
 
 @query("project_facts", f"""
@@ -91,3 +93,29 @@ def archive_entries(spark, sf_dir):
     """The sliced plates inside the projects by their hashes, and the archives that cannot be read."""
     found = archives.with_entries(_projects(spark, sf_dir), "order")
     return found.where("name LIKE '%.gcode' OR name IS NULL").select("order", "name", "size", "sha256", F.col("error").isNotNull().alias("broken"))
+
+
+# Parts as files: those of a size share a provisional key, some have one that was restored; hashes of all but one brand have arrived, a few for files that changed since.
+_FILES = "SELECT p_partkey AS id, p_size AS size, p_partkey % 40 AS mtime_ms, 'f' || p_size AS quick_fp, CASE WHEN p_partkey % 3 = 0 THEN p_type || p_size ELSE 'q:f' || p_size END AS content_key, CAST(NULL AS VARCHAR) AS sha256 FROM part"
+_HASHES = "SELECT p_partkey AS id, p_size AS size, CASE WHEN p_partkey % 40 = 1 THEN 0 ELSE p_partkey % 40 END AS mtime_ms, 'f' || p_size AS quick_fp, CASE WHEN p_partkey % 6 = 0 THEN p_type || p_size ELSE 's' || p_name END AS sha256 FROM part WHERE p_brand <> 'Brand#1'"
+_CLAIMS = """SELECT 'file' AS subject_type, subject_key, 'same_as' AS relation, 'file' AS object_type, object_key, length(p) % 2 = 0 AS automatic, p AS state
+  FROM (SELECT DISTINCT CASE WHEN p_size % 4 = 0 THEN 'q:f' || p_size ELSE p_type || p_size END || CASE WHEN p_size % 5 = 0 THEN '#1' ELSE '' END AS subject_key, 'q:f' || p_size % 10 AS object_key, p_type AS p FROM part)"""
+
+
+@query("rekeyed_claims", f"""
+WITH f AS ({_FILES}), h AS ({_HASHES}), c AS ({_CLAIMS}),
+v AS (SELECT f.id, f.content_key AS old, h.sha256 AS new, CASE WHEN f.mtime_ms <> h.mtime_ms THEN 'changed' WHEN f.content_key = h.sha256 THEN 'confirmed' WHEN f.content_key LIKE 'q:%' THEN 'rekeyed' ELSE 'contradicted' END AS verdict FROM f JOIN h USING (id)),
+m AS (SELECT DISTINCT old, new, verdict FROM v WHERE verdict IN ('rekeyed', 'contradicted')),
+k AS (SELECT DISTINCT content_key AS old FROM f WHERE id NOT IN (SELECT id FROM v WHERE verdict IN ('rekeyed', 'contradicted'))),
+e AS (SELECT *, split_part(subject_key, '#', 1) AS s, split_part(object_key, '#', 1) AS o FROM c),
+j AS (SELECT e.*, CASE WHEN ms.verdict = 'rekeyed' OR automatic THEN ms.new END AS sn, CASE WHEN mo.verdict = 'rekeyed' OR automatic THEN mo.new END AS so FROM e LEFT JOIN m ms ON ms.old = s LEFT JOIN m mo ON mo.old = o),
+g AS (SELECT subject_key, object_key, state, automatic, 0 AS r FROM j WHERE NOT coalesce(sn IS NOT NULL AND s NOT IN (SELECT old FROM k), false) AND NOT coalesce(so IS NOT NULL AND o NOT IN (SELECT old FROM k), false)
+  UNION SELECT coalesce(sn || substr(subject_key, length(s) + 1), subject_key), coalesce(so || substr(object_key, length(o) + 1), object_key), state, automatic, 1 FROM j WHERE sn IS NOT NULL OR so IS NOT NULL)
+SELECT sha1('file|' || subject_key || '|same_as|file|' || object_key) AS claim_key, subject_key, object_key FROM g GROUP BY subject_key, object_key""")
+def rekeyed_claims(spark, sf_dir):
+    """Claims after a batch of hashes: moved, copied, or left where they were."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part_of_rekeying")
+    sql = lambda text: spark.sql(text.replace("FROM part", "FROM part_of_rekeying").replace("VARCHAR", "STRING"))
+    files, hashes, claims = sql(_FILES), sql(_HASHES), sql(_CLAIMS)
+    to = rekey.moves(files, rekey.verdicts(files, hashes))
+    return rekey.rekeyed_claims(claims, to).select("claim_key", "subject_key", "object_key")

@@ -26,6 +26,8 @@ SLIC3R = "Metadata/Slic3r_PE.config"
 COVER = "Auxiliaries/.thumbnails/thumbnail_3mf.png"
 PLATE_ENTRY = re.compile(r"Metadata/plate_(\d+)(\.gcode|\.png|_small\.png)")
 SETTINGS_MOST, MD5_MOST, PICTURE_MOST, ADDED_PICTURE_MOST = 16 << 20, 1024, 2 << 20, 300 << 10
+#: Archives whose rows are handed on together.
+AT_ONCE = 256
 MESH_NAME = re.compile(r"\.(stl|obj|step|stp|3mf|amf|ply)$", re.I)
 
 
@@ -46,7 +48,8 @@ def _table(files: DataFrame, key: str, content: str | None, of: Callable[[Archiv
     names = StructType.fromDDL(schema).names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[k : k + AT_ONCE] for f in frames for k in range(0, len(f), AT_ONCE)):
+            made: list[dict] = []
             for row in zip(frame["p"], frame["n"], frame["c"], strict=True):
                 archive = None
                 try:
@@ -54,9 +57,9 @@ def _table(files: DataFrame, key: str, content: str | None, of: Callable[[Archiv
                     rows = of(archive)
                 except (ValueError, OSError) as error:
                     rows = [{"error": str(error)}]
-                for r in rows:
-                    r |= {"key": row[0], "bytes_read": archive.bytes_read if archive else 0}
-                yield pd.DataFrame(rows, columns=["key", *names, "bytes_read"]).astype(object).where(lambda f: f.notna(), None)
+                made += [r | {"key": row[0], "bytes_read": archive.bytes_read if archive else 0} for r in rows]
+            columns = {c: pd.Series([r.get(c) for r in made], dtype=object) for c in ("key", *names, "bytes_read")}
+            yield pd.DataFrame(columns)
 
     size = F.col("size").cast("bigint") if "size" in files.columns else F.lit(None).cast("bigint")
     told = files.select(F.col(key).alias("p"), size.alias("n"), (F.col(content) if content else F.lit(None).cast("binary")).alias("c"))
