@@ -107,9 +107,12 @@ class _Xml:
         parser.buffer_text = True
 
         def started(name: str, attributes: dict) -> None:
+            if name == stop:  # nothing after it is wanted
+                self.done = True
+                parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = None
+                return
             self.path.append(name)
             self.text = []
-            self.done = self.done or name == stop
             begin(self.path, attributes)
 
         def ended(name: str) -> None:
