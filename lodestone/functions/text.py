@@ -166,3 +166,15 @@ def firmware_parts(x: Column) -> tuple[Column, Column]:
     """(model, version) of names such as ``Model_V1.2.3.bin``; nulls if it has another form."""
     pattern = r"(?i)^(.+?)[_-]v?(\d+(?:\.\d+)+).*\.(bin|img|zip|swu)$"
     return tuple(F.when(F.regexp_extract(x, pattern, g) != "", F.regexp_extract(x, pattern, g)) for g in (1, 2))
+
+
+def firmware_build(x: Column) -> Column:
+    """Struct (product, version, build_time, build_id) of an upgrade image's name, product_version_time_upgrade.bin; nulls for other names."""
+    pattern = r"(?i)^([a-z0-9]+)_(\d+(?:\.\d+){2,3})_(\d{14})_upgrade\.bin$"
+    part = lambda g: F.when(x.rlike(pattern), F.regexp_extract(x, pattern, g))
+    return F.struct(part(1).alias("product"), part(2).alias("version"), part(3).alias("build_time"), F.concat(part(2), F.lit("_"), part(3)).alias("build_id"))
+
+
+def reported_version(x: Column) -> Column:
+    """The version of a build id that a machine reports."""
+    return F.when(x != "", F.substring_index(x, "_", 1))

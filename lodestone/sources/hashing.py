@@ -109,3 +109,39 @@ def hash_pass(files: DataFrame, done: DataFrame | None = None, most: int | None
 def listed_ms(modified: Column) -> Column:
     """A listing's time in whole milliseconds."""
     return F.unix_millis(modified)
+
+
+def spread_starts(size: int, window: int, n: int) -> list[int]:
+    """Where n windows begin that are spread evenly over a file; those of a small file fall together."""
+    return sorted({max(0, (size - window) * k // max(n - 1, 1)) for k in range(n)})
+
+
+def verified_copies(pairs: DataFrame, window: int = 1 << 20, n: int = 5) -> DataFrame:
+    """(a, b, ok, reason, offset) of files that should be the same: by size first, then by n windows of both, read by ranges.
+
+    pairs: a, b, paths. reason: size, content (``offset`` tells the first window
+    that differs) or error; what cannot be read is not verified.
+    """
+
+    def compare(a: str, b: str) -> tuple:
+        try:
+            (one, at), (two, bt) = FileSystem.from_uri(a), FileSystem.from_uri(b)
+            sizes = _seen(one, at), _seen(two, bt)
+            if None in sizes:
+                return (a, b, False, "error: not there", None)
+            if sizes[0][0] != sizes[1][0]:
+                return (a, b, False, "size", None)
+            with one.open_input_file(at) as x, two.open_input_file(bt) as y:
+                for start in spread_starts(sizes[0][0], window, n):
+                    if x.read_at(window, start) != y.read_at(window, start):
+                        return (a, b, False, "content", start)
+            return (a, b, True, None, None)
+        except OSError as error:
+            return (a, b, False, f"error: {error}", None)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = pd.DataFrame([compare(a, b) for a, b in zip(frame["a"], frame["b"], strict=True)], columns=["a", "b", "ok", "reason", "offset"])
+            yield rows.astype({"offset": "Int64"})
+
+    return pairs.select("a", "b").mapInPandas(run, "a string, b string, ok boolean, reason string, offset bigint")

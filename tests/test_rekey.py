@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import membership, rekey
-from lodestone.sources import files, hashing
+from lodestone.sources import files, gcode, hashing
 from lodestone.sources.commits import Tables
 
 
@@ -126,3 +127,29 @@ def test_protected_names_of_equal_sets_without_gathering(spark):
     models = spark.createDataFrame([("x", 1), ("y", 2), ("z", 1), ("u", 3), ("v", 3)], "key string, model int")
     got = {tuple(r.terms): (r["keys"], r.models) for r in membership.protected_names(spark.createDataFrame(rows, "term string, key string"), models).collect()}
     assert got == {("a", "b"): (3, 2), ("c",): (2, 2)}
+
+
+def test_copies_are_verified_by_windows(spark, tmp_path):
+    data = bytearray(os.urandom(100_000))
+    other = bytearray(data)
+    other[50_000] ^= 1
+    between = bytearray(data)
+    between[30_000] ^= 1  # in no window
+    for name, d in (("a", data), ("same", data), ("other", other), ("between", between), ("short", data[:-1]), ("empty", b"")):
+        (tmp_path / name).write_bytes(d)
+    path = lambda n: f"file://{tmp_path}/{n}"
+    pairs = spark.createDataFrame([(path("a"), path(n)) for n in ("same", "other", "between", "short", "gone")] + [(path("empty"), path("empty"))], "a string, b string")
+    got = {r.b.rsplit("/", 1)[1]: r for r in hashing.verified_copies(pairs, 4096, 5).collect()}
+    assert {n: (r.ok, (r.reason or "").split(":")[0]) for n, r in got.items()} == {"same": (True, ""), "other": (False, "content"), "between": (True, ""), "short": (False, "size"), "gone": (False, "error"), "empty": (True, "")}
+    assert got["other"].offset == hashing.spread_starts(100_000, 4096, 5)[2]
+
+
+def test_used_slots_and_builds(spark):
+    slots = spark.createDataFrame([("w", 0, 1.5), ("w", 1, 0.0), ("w", 2, None), ("t", 0, 0.0), ("t", 1, None), ("n", 0, None)], "path string, slot int, used_g double")
+    facts = spark.createDataFrame([("w", [1, 2]), ("t", [1]), ("n", [])], "path string, tools array<int>")
+    used = gcode.with_used(slots, facts, "path")
+    assert {(r.path, r.slot) for r in used.where("used").collect()} == {("w", 0), ("t", 1)}
+    assert {r.path: r.colors for r in gcode.used_colours(used, "path").collect()} == {"w": 1, "t": 1, "n": None}
+    names = spark.createDataFrame([("U1_1.6.0.267_20260815150420_upgrade.bin",), ("x_1.2_1_upgrade.bin",), (None,)], "n string").select(text.firmware_build(F.col("n")).alias("b"), text.reported_version(F.col("n")).alias("v")).collect()
+    assert names[0].b.asDict() == {"product": "U1", "version": "1.6.0.267", "build_time": "20260815150420", "build_id": "1.6.0.267_20260815150420"} and names[0].v == "U1"
+    assert names[1].b.build_id is None and names[2].b.product is None and names[2].v is None
