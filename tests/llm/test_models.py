@@ -364,3 +364,22 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert docs.count() == len(seen[2]) and seen[2][29].startswith(rows[29][1].split("\n")[0])
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.collect()} == set(seen[2])
+
+
+def test_pipeline_over_awkward_rows(spark, tmp_path):
+    """Null ids, null, empty, blank and very long texts, repeated ids and rows, and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choices([f"the{k}" for k in range(900)], k=n))
+    one, kind = prose(200), "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, prose(60), "en", "s", 1) for i in range(20)] + [(None, prose(60), "en", None, None) for _ in range(6)] + [(None, one, "en", "s", 1), (None, one, "en", "s", 1), (300, one, "en", "s", 1), (301, one, None, "s", 1)]
+    rows += [(302, None, "en", "s", None), (303, "", "en", "s", 0), (304, " \n\t", "en", "s", 3), (305, prose(20_000), "en", "s", 1), (7, prose(50), "en", "s", 1), rows[3], rows[3], (None, None, None, None, None)]
+    folder = str(tmp_path / "some")
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == {i for i, *_ in rows} - {301, 302, 303, 304}  # 301 is a copy of 300; rows without an id stay
+    assert sum(r.doc_id is None and r.piece == 0 for r in packed) == 8 and sum(r.doc_id == 7 and r.piece == 0 for r in packed) == 2
+    empty = str(tmp_path / "none")
+    spark.createDataFrame([], kind).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
