@@ -56,16 +56,17 @@ def contained(items: DataFrame, docs: DataFrame, item: str, doc: str, first_word
     first, last = (F.when(needle.rlike(r), 1).otherwise(0) for r in (r"\A[\p{L}\p{N}]", r"[\p{L}\p{N}]\z"))
     a = items.select(item, F.lower("text").alias("needle")).where("needle IS NOT NULL").withColumn("words", words(needle))
     a = a.withColumn("run", F.slice(w, 1 + first, F.least(F.lit(first_words), F.greatest(F.size(w) - first - last, F.lit(0))))).withColumn("n", F.size("run"))
-    a = a.select(item, "needle", "n", F.array_join("run", " ").alias("run"))
+    hashed = lambda list_: F.transform(list_, lambda x: F.xxhash64(x))  # noqa: E731  words once, runs from their hashes
+    a = a.select(item, "needle", "n", F.xxhash64(hashed(F.col("run"))).alias("run"))
     sizes = sorted(r.n for r in a.select("n").distinct().collect())  # at most first_words + 1 numbers
     b = docs.select(doc, F.lower("text").alias("hay"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n)))
     each = F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes if n], F.array().cast("array<bigint>"))))
     holds = F.contains("hay", "needle")
-    known = a.where("n > 0").withColumn("run", F.xxhash64("run"))
+    known = a.where("n > 0")
     if (known.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0) <= BROADCAST_MOST:
         known = F.broadcast(known)  # then a document's runs are not shuffled
-    hits = b.withColumn("w", words(F.col("hay"))).withColumn("run", each).join(known, "run").where(holds).select(item, doc)
+    hits = b.withColumn("w", hashed(words(F.col("hay")))).withColumn("run", each).join(known, "run").where(holds).select(item, doc)
     if 0 in sizes:
         hits = hits.union(a.where("n = 0").join(b, holds).select(item, doc))
     hits = hits.distinct()
