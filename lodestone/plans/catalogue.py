@@ -6,6 +6,8 @@ calls the operators on them, each SQL twin says the same rule on its own.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import codes, status
@@ -403,3 +405,38 @@ def queue_claims(spark, sf_dir):
     state = F.when(n % 3 == 0, "idle").otherwise("printing")
     rows = table(spark, sf_dir, "customer").select(n.alias("printer_id"), state.alias("state"), (n % 5 == 0).alias("paused"), (n % 7 == 0).alias("stopped"), F.when(n % 4 != 0, F.array(n * 10, n * 10 + 1)).otherwise(none).alias("queue"))
     return queue.claims(rows)
+
+
+#: Kinds of a queue's events by type of event and event_id % 3.
+_QUEUE_KINDS = {"signup": ("add", "add", "add"), "click": ("claim", "dispatched", "claim"), "view": ("dispatched", "deferred", "bed_confirmed"), "error": ("failed", "dispatch_failed", "restart"), "purchase": ("completed", "skip", "resume")}
+
+
+@query("queue_lives", f"""
+WITH k AS (SELECT user_id, event_id, CASE event_type {" ".join(f"WHEN '{t}' THEN {list(k)}[event_id % 3 + 1]" for t, k in _QUEUE_KINDS.items())} END AS kind FROM events),
+l AS (SELECT user_id, list(kind ORDER BY event_id) AS kinds FROM k GROUP BY 1),
+f AS (SELECT user_id, list_reduce(list_transform(kinds, lambda k: {{'k': k, 's': 'idle', 'r': NULL::VARCHAR, 'w': 0, 'n': 0}}), lambda q, e: CASE
+  WHEN e.k = 'add' THEN {{'k': e.k, 's': q.s, 'r': q.r, 'w': q.w + 1, 'n': q.n}}
+  WHEN e.k = 'claim' AND q.s = 'idle' AND q.w > 0 THEN {{'k': e.k, 's': 'dispatching', 'r': q.r, 'w': q.w - 1, 'n': q.n}}
+  WHEN e.k = 'dispatched' AND q.s = 'dispatching' THEN {{'k': e.k, 's': 'printing', 'r': q.r, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'deferred' AND q.s = 'dispatching' THEN {{'k': e.k, 's': 'idle', 'r': q.r, 'w': q.w + 1, 'n': q.n}}
+  WHEN e.k = 'bed_confirmed' AND q.s = 'awaiting_bed_clear' THEN {{'k': e.k, 's': 'idle', 'r': q.r, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'failed' AND q.s = 'printing' THEN {{'k': e.k, 's': '{queue.ATTENTION}', 'r': 'print-failed', 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'dispatch_failed' AND q.s = 'dispatching' THEN {{'k': e.k, 's': '{queue.ATTENTION}', 'r': 'dispatch-failed', 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'restart' AND q.s = 'dispatching' THEN {{'k': e.k, 's': '{queue.ATTENTION}', 'r': 'recovery-interrupted', 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'restart' AND q.s = 'printing' THEN {{'k': e.k, 's': '{queue.ATTENTION}', 'r': 'recovery-unknown-outcome', 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'restart' THEN {{'k': e.k, 's': q.s, 'r': q.r, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'completed' AND q.s = 'printing' THEN {{'k': e.k, 's': 'awaiting_bed_clear', 'r': q.r, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'skip' AND q.r = 'dispatch-failed' THEN {{'k': e.k, 's': 'idle', 'r': NULL, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'skip' AND q.r IS NOT NULL THEN {{'k': e.k, 's': 'awaiting_bed_clear', 'r': NULL, 'w': q.w, 'n': q.n}}
+  WHEN e.k = 'resume' AND q.r IN ('print-failed', 'recovery-unknown-outcome') THEN {{'k': e.k, 's': 'printing', 'r': NULL, 'w': q.w, 'n': q.n}}
+  ELSE {{'k': e.k, 's': q.s, 'r': q.r, 'w': q.w, 'n': q.n + 1}} END, {{'k': '', 's': 'idle', 'r': NULL::VARCHAR, 'w': 0, 'n': 0}}) AS q FROM l)
+SELECT user_id::VARCHAR AS printer_id, q.s AS state, q.r AS reason, q.w AS waiting, q.n::BIGINT AS refused FROM f""")
+def queue_lives(spark, sf_dir):
+    """Where each printer's queue stands after its events, and how many of them did not fit."""
+    picked = F.create_map(*[F.lit(x) for t, k in _QUEUE_KINDS.items() for x in (t, json.dumps(k))])[F.col("event_type")]
+    kind = F.get(F.from_json(picked, "array<string>"), (F.col("event_id") % 3).cast("int"))
+    answer = F.when(kind.isin("skip", "resume"), kind)
+    event = F.to_json(F.struct(F.when(answer.isNotNull(), "resolve").otherwise(kind).alias("kind"), answer.alias("answer"), F.lit("item").alias("id")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("printer_id"), F.col("event_id").alias("at"), "event_id", event.alias("event"))
+    last = F.max_by(F.struct("state", "reason", "waiting"), "event_id").alias("q")
+    return queue.run_queues(rows).groupBy("printer_id").agg(last, F.count_if("refused").alias("refused")).select("printer_id", "q.state", "q.reason", "q.waiting", "refused")

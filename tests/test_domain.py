@@ -2,7 +2,6 @@
 
 import base64
 import io
-import json
 import zipfile
 
 import pytest
@@ -123,22 +122,6 @@ def test_reports_merge_and_reset():
     assert status.merged(old, {"ams": [{"id": 1}]})["ams"][0] == {"id": 1}
 
 
-def test_queue_life_and_stream(spark, tmp_path):
-    q = queue.empty()
-    for event in [{"kind": "add", "id": "a"}, {"kind": "add", "id": "b"}, {"kind": "claim"}, {"kind": "deferred"}, {"kind": "claim"}, {"kind": "dispatched"}, {"kind": "claim"}, {"kind": "failed", "reason": "jam"}]:
-        q = queue.step(q, event)
-    assert (q["state"], q["attention"], [i["id"] for i in q["queue"]]) == ("attention", "jam", ["b"])
-    q = queue.step(q, {"kind": "retry"})
-    assert (q["state"], [i["id"] for i in q["queue"]]) == ("idle", ["a", "b"])
-    assert queue.step({**q, "paused": True}, {"kind": "claim"})["state"] == "idle"
-    events = [("p", i, i, json.dumps(e)) for i, e in enumerate([{"kind": "add", "id": "a"}, {"kind": "claim"}, {"kind": "dispatched"}, {"kind": "completed"}, {"kind": "bed_cleared"}])]
-    frame = spark.createDataFrame(events, "printer_id string, at bigint, event_id bigint, event string")
-    frame.write.parquet(f"{tmp_path}/in")
-    run = queue.run_queues(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert [r.state for r in spark.read.parquet(f"{tmp_path}/out").orderBy("event_id").collect()] == ["idle", "dispatching", "printing", "clearing", "idle"]
-
-
 def test_balance(spark):
     rows = [("g", "p1", "x", True, []), ("g", "p2", "x", False, ["i1", "i2"]), ("g", "p3", "x", False, ["i3"]), ("g", "p4", "y", True, []), ("g", "p5", "x", True, [])]
     got = queue.balanced(spark.createDataFrame(rows, "pool string, printer_id string, connector string, idle boolean, queue array<string>")).collect()
