@@ -247,7 +247,10 @@ def _closed(ok: DataFrame, s: State) -> DataFrame:
 
 
 def after(done: DataFrame, s: State) -> State:
-    """The state after a round: ``done`` is judged commands of which no two share a subject; refused ones change nothing."""
+    """The state after a round: ``done`` is judged commands of which no two share a subject; refused ones change nothing.
+
+    It is read for each table, so it should be a written one.
+    """
     ok = done.where("refused IS NULL")
     placed, sets, closed = _placed(ok, s), _facts_set(ok, s), _closed(ok, s)
     ended = _ended(ok, placed, s)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.plans import catalogue, operations, ordered, projects, registry, relational, scalars, textual  # noqa: F401
+from lodestone.plans import catalogue, commands, operations, ordered, projects, registry, relational, scalars, textual  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
