@@ -214,8 +214,9 @@ class Queues(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
-        q = json.loads(self.head.get()[0]) if self.head.exists() else empty()
-        before = [i[0] for i in self.waiting.get()] if self.waiting.exists() else []
+        head = self.head.get()  # each call to the store is a round trip to the JVM
+        q = json.loads(head[0]) if head else empty()
+        before = [i[0] for i in self.waiting.get()] if head else []
         q["queue"] = [json.loads(i) for i in before]
         told = []
         for event_id, at, text in zip(events["event_id"], events["at"], events["event"], strict=True):
