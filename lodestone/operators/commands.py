@@ -98,14 +98,17 @@ def _files_told(c: DataFrame, s: State) -> DataFrame:
 def judged(commands: DataFrame, s: State) -> DataFrame:
     """Commands with ``a``, ``b`` (the models they are about) and ``refused``: why one does not apply to this state, null if it does."""
     kind = F.col("kind")
-    asked = s.reviews.select(F.col("id").alias("review"), F.col("kind").alias("r_kind"), F.col("status").alias("r_status"), F.col("model").alias("r_x"), F.col("other").alias("r_y"))
+    asked = s.reviews.select(F.col("id").cast("string").alias("_review"), F.col("kind").alias("r_kind"), F.col("status").alias("r_status"), F.col("model").alias("r_x"), F.col("other").alias("r_y"))
     lost = F.when(F.col("model") == F.col("r_x"), F.col("r_y")).when(F.col("model") == F.col("r_y"), F.col("r_x"))
     a = F.when(kind == "approve", lost).when(kind.isin("reject", "dismiss"), F.col("r_x")).otherwise(F.col("model"))
     b = F.when(kind == "approve", F.col("model")).when(kind.isin("reject", "dismiss"), F.col("r_y")).when(kind == "split", F.concat(F.lit("split-"), F.col("id").cast("string"))).when(kind.isin("merge", "move"), F.col("other"))
-    c = commands.join(asked, "review", "left").withColumn("a", a).withColumn("b", b)
+    # Commands without a review or second model get a key of their own, so that these don't meet in one task.
+    alone = F.concat(F.lit("\u0000"), F.col("id").cast("string"))
+    c = commands.withColumn("_review", F.coalesce(F.col("review").cast("string"), alone)).join(asked, "_review", "left").withColumn("a", a).withColumn("b", b)
     models = s.facts.groupBy("model").agg(F.max(F.when(F.col("field") == "merged_into", F.col("value"))).alias("m"))
     for side in "ab":
-        c = c.join(models.select(F.col("model").alias(side), F.lit(True).alias(f"{side}_there"), F.col("m").alias(f"{side}_merged")), side, "left")
+        told = models.select(F.col("model").alias("_side"), F.lit(True).alias(f"{side}_there"), F.col("m").alias(f"{side}_merged"))
+        c = c.withColumn("_side", F.coalesce(side, alone)).join(told, "_side", "left").drop("_side")
     c = c.join(_files_told(c, s), "id", "left")
     files_named = F.coalesce(F.size("files"), F.lit(0)) > 0
     by_file = kind.isin("move", "split", "hide_file", "unhide_file", "set_printer")
