@@ -14,6 +14,9 @@ from ..sources import archives
 from .registry import query
 from .tables import table
 
+#: Archives that are handed on together.
+AT_ONCE = 256
+
 _BY = {"F": "BambuStudio-02.06.00.51", "O": "OrcaSlicer-2.1.0", "P": ""}
 
 
@@ -49,7 +52,7 @@ def _projects(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status")).join(lines, "key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[k : k + AT_ONCE] for f in frames for k in range(0, len(f), AT_ONCE)):
             yield pd.DataFrame({"order": frame["key"], "content": [_archive(row) for row in frame.itertuples()]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -158,3 +158,11 @@ def test_generic_scores(name, score):
 ])
 def test_titles_of_every_rule(name, want):
     assert titles.normalise(name)["normalized"] == want
+
+
+def test_contents_go_to_python_in_small_batches(spark):
+    files = spark.range(3000, numPartitions=1).selectExpr("id", "unhex('504B') AS content")
+    found = archives.with_entries(files, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and "ArrowEval" not in plan  # those take 10,000 contents at once
+    assert found.where("error IS NOT NULL AND bytes_read = 0").count() == 3000
