@@ -164,7 +164,7 @@ def duplicate_components(spark, sf_dir):
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.md5("text"), F.concat_ws(":", "source", F.col("n_chars").cast("string")))).alias("k"))
     least = docs.groupBy("k").agg(F.min("doc_id").alias("b"))
-    links = docs.join(least, "k").select(F.col("doc_id").alias("a"), "b")
+    links = docs.join(least.hint("merge"), "k").select(F.col("doc_id").alias("a"), "b")
     return graph.components(docs.select(F.col("doc_id").alias("key")).distinct(), links).select(F.col("key").alias("doc_id"), "component")
 
 

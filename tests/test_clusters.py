@@ -4,9 +4,10 @@ import random
 
 import pytest
 
-from lodestone.operators import genericity
+from lodestone.operators import genericity, graph
 from lodestone.operators.clusters import assigned, constrained_clusters
 from lodestone.operators.genericity import common_objects
+from lodestone.sources import storage
 
 
 def sequential(keys, edges, pins, rejects, anchors, distinct):
@@ -143,3 +144,18 @@ def test_common_objects_of_one_name_with_many_titles(spark):
     rows = [("body", f"model {i:05d}") for i in range(5000)] + [("body", f"model {i:05d} blue") for i in range(5000)]
     got = common_objects(spark.createDataFrame(rows, "name string, title string")).collect()
     assert [(r.name, r.groups) for r in got] == [("body", 5000)]
+
+
+def test_labels_of_components_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.written(df, name)
+
+    monkeypatch.setattr(graph, "written", told)
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "a string, b string")
+    keys = spark.createDataFrame([(k,) for k in "abcdef"], "key string")
+    got = {r.key: r.component for r in graph.components(keys, links).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
