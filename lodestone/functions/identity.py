@@ -7,6 +7,7 @@ told as unknown.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -48,16 +49,24 @@ def told(x: Column) -> Column:
     return F.trim(F.coalesce(x, F.lit(""))) != ""
 
 
+def once(of: Callable[[Column], Column], **values: Column) -> Column:
+    """What ``of`` makes of a struct of values, each of which is worked out once a row, however often ``of`` names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), of), 0)
+
+
 def families_in(x: Column) -> Column:
     """All families that a text names."""
-    low = folded(x)
-    return F.array_compact(F.array(*[F.when(low.rlike(f.pattern), F.lit(f.key)) for f in FAMILIES]))
+    return once(lambda v: F.array_compact(F.array(*[F.when(v["low"].rlike(f.pattern), F.lit(f.key)) for f in FAMILIES])), low=folded(x))
+
+
+def only(found: Column) -> Column:
+    """The one of a list that holds exactly one."""
+    return F.when(F.size(found) == 1, F.get(found, 0))
 
 
 def family_of(x: Column) -> Column:
     """The family, if a text names exactly one."""
-    found = families_in(x)
-    return F.when(F.size(found) == 1, found[0])
+    return once(lambda v: only(v["found"]), found=families_in(x))
 
 
 def of_family(key: Column, field: str) -> Column:
@@ -81,11 +90,17 @@ def identify_file(model: Column, settings: Column, compatible: Column, code: Col
     the brand is all that can be told.
     """
     by_code = F.try_element_at(F.create_map(*[F.lit(v) for pair in MODEL_CODES.items() for v in pair]), F.trim(code))
-    hits = families_in(compatible)
-    others = F.array_distinct(F.array_compact(F.array(family_of(settings), F.when(F.size(hits) == 1, hits[0]))))
     own = F.when(told(model) & ~folded(model).rlike(GENERIC), family_of(model))
-    many, agrees = F.size(hits) > 1, F.size(F.array_except(others, F.array(own))) == 0
+    is_told = told(model) | told(settings) | told(compatible) | told(code)
     brand = brand_in(settings, model, brands)
+    values = lambda v: {k: v[k] for k in ("told", "by_code", "own", "brand", "hits")}
+    others = lambda v: F.array_distinct(F.array_compact(F.array(v["of_settings"], only(v["hits"]))))
+    return once(lambda v: once(_decided, others=others(v), **values(v)), told=is_told, by_code=by_code, own=own, brand=brand, of_settings=family_of(settings), hits=families_in(compatible))
+
+
+def _decided(v: Column) -> Column:
+    by_code, own, others, brand = v["by_code"], v["own"], v["others"], v["brand"]
+    many, agrees = F.size(v["hits"]) > 1, F.size(F.array_except(others, F.array(own))) == 0
     nothing = F.lit(None).cast("string")
 
     def told_as(family: Column, confidence: str, method: Column, conflict: Column, brand_: Column | None = None) -> Column:
@@ -94,11 +109,11 @@ def identify_file(model: Column, settings: Column, compatible: Column, code: Col
 
     none = F.struct(F.lit(False).alias("has_data"), *[nothing.alias(n) for n in ("family", "label", "brand", "confidence", "method")], F.lit(False).alias("conflict"))
     no, yes = F.lit(False), F.lit(True)
-    out = F.when(~(told(model) | told(settings) | told(compatible) | told(code)), none)
+    out = F.when(~v["told"], none)
     out = out.when(by_code.isNotNull(), told_as(by_code, "high", F.lit("model_code"), no))
     out = out.when(own.isNotNull() & agrees, told_as(own, "high", F.when(F.size(others) > 0, "model+settings").otherwise("model"), many))
     out = out.when(own.isNotNull(), told_as(own, "medium", F.lit("model_contradicted"), yes))
-    out = out.when((F.size(others) == 1) & ~many, told_as(others[0], "medium", F.lit("settings"), no))
+    out = out.when((F.size(others) == 1) & ~many, told_as(F.get(others, 0), "medium", F.lit("settings"), no))
     return out.otherwise(told_as(nothing, "low", F.when(brand.isNotNull(), "brand_only").otherwise("none"), many | (F.size(others) > 1), brand))
 
 

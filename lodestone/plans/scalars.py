@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, identity, text, titles
 from ..operators import actions
 from .registry import query
-from .tables import table
+from .tables import spread, table
 
 
 @query("packed_codes", """
@@ -124,7 +124,8 @@ def _sql(value) -> str:
 SELECT p_partkey, family, brand, confidence, method, conflict FROM part JOIN (VALUES {', '.join(f"({i}, {', '.join(map(_sql, f[4:]))})" for i, f in enumerate(_FILES))}) t(i, family, brand, confidence, method, conflict) ON p_partkey % {len(_FILES)} = i""")
 def family_by_label(spark, sf_dir):
     told = [F.get(F.array(*[F.lit(f[k]) for f in _FILES]), (F.col("p_partkey") % len(_FILES)).cast("int")) for k in range(4)]
-    return table(spark, sf_dir, "part").select("p_partkey", identity.identify_file(*told).alias("x")).select("p_partkey", "x.family", "x.brand", "x.confidence", "x.method", "x.conflict")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return part.select("p_partkey", identity.identify_file(*told).alias("x")).select("p_partkey", "x.family", "x.brand", "x.confidence", "x.method", "x.conflict")
 
 
 @query("printer_fit", """
@@ -148,5 +149,5 @@ def families_like_name(spark, sf_dir):
 @query("title_rules")
 def title_rules(spark, sf_dir):
     """Ordered, recorded rules without SQL form; tests hold them against named cases."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("2x "), F.col("p_name"), F.lit(" (5h11m, 102g)_PLA.gcode")).alias("name"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.concat(F.lit("2x "), F.col("p_name"), F.lit(" (5h11m, 102g)_PLA.gcode")).alias("name"))
     return titles.with_titles(rows, "name").select("p_partkey", "title.normalized", "title.token_count", "title.display")

@@ -30,3 +30,17 @@ def test_snapshot_flatten_covers_page(spark):
     prints = spark.createDataFrame([(1, 5, "completed"), (1, 9, "failed")], "model_id int, ended_at int, outcome string")
     row = fleet.model_page(model, files, prints, 1).first()
     assert [f.rel_path for f in row["files"]] == ["a", "b"] and [p.ended_at for p in row.prints] == [9]
+
+
+def test_costly_expressions_run_in_many_tasks_and_once_a_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import identity
+    from lodestone.plans import scalars
+
+    parts = spark.range(1, 400).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").coalesce(1)
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    for of in (scalars.family_by_label, scalars.title_rules):
+        assert of(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    named = spark.range(1).select(identity.identify_file(F.lit("K1C"), F.lit("x"), F.lit("y"), F.lit("")).alias("x"))
+    assert named._jdf.queryExecution().analyzed().toString().count(r"\bsparkx") == 3  # once for each text
