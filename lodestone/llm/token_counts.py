@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 Frequent pre-tokens come from a broadcast table of fixed size, the others are
-encoded once per worker and kept in its cache; no pre-token is shuffled.
+encoded once per worker and kept in its cache. To find the frequent ones their
+counts are shuffled, added up within each task; what is counted after that is not.
 """
 
 from __future__ import annotations
@@ -13,42 +14,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import dropped, slices, stored
 from .pretoken import PieceTable, piece_table, pieces
 from .vocab import library_encoder
 
 #: Most pre-tokens in the broadcast table, of at most so many bytes each: 2.6 MB.
 MOST_FREQUENT, LONGEST = 65_536, 15
-#: Texts that the table's pre-tokens are counted in, and tasks that count them.
-SAMPLE, TASKS = 8192, 8
+#: Distinct pre-tokens that a task adds up before it hands on their counts.
+HELD = 500_000
 
 
 def frequent(docs: DataFrame, path: str, text_col: str = "text", most: int = MOST_FREQUENT) -> PieceTable:
-    """The pre-tokens that most often come up, with their numbers of tokens.
+    """The ``most`` pre-tokens of at most LONGEST bytes that most often come up in all texts, with their numbers of tokens.
 
-    They are counted in about SAMPLE texts, picked by the text's hash and dealt
-    to TASKS tasks; each hands its ``most`` // TASKS commonest to the driver,
-    which adds them up. The table only saves time: a count comes out the same
-    whatever it holds.
+    The table only saves time: a count comes out the same whatever it holds.
     """
-    part = min(1.0, SAMPLE / max(docs.count(), 1))
+
+    def told(count: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["p", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
         for batch in batches:
             for part in slices(batch, "t"):
                 raw, begin, end, _ = pieces([t or "" for t in part.column("t").to_pylist()])
-                count.update(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True) if b - a <= LONGEST)
-                if len(count) > 8 * most:
-                    count = Counter(dict(count.most_common(4 * most)))
-        top = count.most_common(most // TASKS)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["p", "n"])
-
-    # Few texts move to few tasks here; no pre-token is shuffled.
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(part * (1 << 30))).selectExpr(f"`{text_col}` AS t").repartition(TASKS)
-    total: Counter[bytes] = Counter()
-    for r in some.mapInArrow(run, "p binary, n bigint").collect():  # at most ``most`` rows
-        total[bytes(r.p)] += r.n
+                some = end - begin <= LONGEST
+                count.update(raw[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True))
+                if len(count) > HELD:
+                    yield told(count)
+                    count = Counter()
+        yield told(count)
+
+    counted = docs.selectExpr(f"`{text_col}` AS t").mapInArrow(run, "p binary, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
+    top = stored(counted.orderBy(F.desc("n"), "p").limit(most).select("p", "n"), "frequent")  # each task's own come together in a task, not in the driver
+    total = [bytes(r.p) for r in sorted(top.collect(), key=lambda r: (-r.n, bytes(r.p)))]
+    dropped(top)
     encoder = library_encoder(path)
     return piece_table({p: len(encoder.piece(p)) for p in total})
 

@@ -145,3 +145,13 @@ def test_queries_derive_their_digests(spark, tmp_path):
         ids = core.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     assert queries.QUERIES["op9_best_fit_packing"](spark, str(tmp_path)).agg(F.count_distinct("doc_id")).first()[0] == len(ODD)
+
+
+def test_frequent_pieces_are_those_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD", 3)  # counts are handed on in several parts
+    rows = [(k, f"w{k} rare") for k in range(200)] + [(-1, "often " * 1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    asked = []
+    monkeypatch.setattr(token_counts, "piece_table", asked.append)
+    token_counts.frequent(docs, PLAIN, most=2)
+    assert list(asked[0]) == [b" often", b" rare"]
