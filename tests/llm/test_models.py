@@ -227,6 +227,44 @@ def plain_scores(rows, trains, model):
     return out
 
 
+def test_mixer_and_kinds_learn_from_all_training_texts(spark, monkeypatch):
+    # Whatever bounds there are or were on samples, none cuts what is learned from.
+    for name in ("MOST_UNITS", "MOST_SAMPLE", "START"):
+        monkeypatch.setattr(lm, name, 1, raising=False)
+    tokens = [f"word{i}".encode() for i in range(400)]
+    place, count = np.arange(400, dtype=np.int32) % 48, np.arange(400) % 7
+    rows = [(int(p), bytearray(t), int(c), int(c)) for p, t, c in zip(place, tokens, count, strict=True)]
+    units = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "place int, token binary, c bigint, n bigint")
+    learned = [i for i in range(400) if count[i]]
+    slots, bits, owner, _ = lm.spelled([tokens[i] for i in learned], place[learned], 6)
+    total = np.zeros((2, int(lm.table_starts(6)[-1])), np.float32)
+    for k in range(len(lm.CONTEXTS)):
+        np.add.at(total, (bits, slots[k]), count[learned][owner])
+    table = lm.Table(lm.packed(total))
+    got, want = lm.train_mixer(units, spark.sparkContext.broadcast(table), less=6), lm.Mixer.new()
+    want.learn(table, [tokens[i] for i in learned], place[learned], count[learned], 6)
+    assert np.allclose(got.weight, want.weight) and np.allclose(got.bias, want.bias) and np.allclose(got.hits, want.hits)
+
+    texts = [(i, f"seldom{i} " * 3 + " ".join(f"often{k}" for k in range(lm.LEADS) if i % (k + 2))) for i in range(300)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame([*texts, *[(1000 + i, "heldout " * 50) for i in range(40)]], "doc_id bigint, text string")
+    kinds = lm.fit_kinds(docs, F.col("doc_id") < 1000, "doc_id", "text")
+    often = [f"often{k}".encode() for k in range(lm.LEADS)]
+    ends = np.cumsum([len(w) for w in often])
+    low, high, _ = pretoken.keys(b"".join(often), np.append(0, ends[:-1]), ends)
+    assert sorted(kinds.leads.find(low, high).tolist()) == list(range(lm.LEADS))
+    again = lm.fit_kinds(docs.repartition(7), F.col("doc_id") < 1000, "doc_id", "text")
+    assert (again.centres == kinds.centres).all() and len(kinds.centres)
+
+
+def test_frequent_words_are_exact_where_tasks_keep_counts_back(spark):
+    # "spread" is never frequent enough in one task to be told, but comes first in all.
+    rows = [(f"own{p} " * 30 + "spread " * 20 + " ".join(f"w{p}-{i}" for i in range(50)),) for p in range(8)]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize([*rows, ("averyverylongword " * 900,), (None,)], 10), "t string")
+    assert lm.frequent_words(texts, 3, share=4) == [b"spread", b"own0", b"own1"]
+    assert lm.frequent_words(texts, 3) == [b"spread", b"own0", b"own1"]
+    assert lm.frequent_words(texts.limit(0), 3) == []
+
+
 def test_scores_against_brute_force(spark):
     rng = random.Random(11)
     text = lambda n: " ".join(rng.choices([*WORDS["en"], *WORDS["fr"], *(f"name{i}" for i in range(60))], k=n))
