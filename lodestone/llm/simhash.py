@@ -37,32 +37,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints_of(texts: list[str | None], words: int, wide: int = 1) -> np.ndarray:
-    """SimHash of each text over its shingles of ``words`` words, repeats included: (texts, ``wide``) words of 64 bits.
-
-    The first word comes from XXH64 with seed 42, each further one from that hash mixed anew.
-    """
-    digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    out = np.zeros((len(texts), wide), np.uint64)
-    ends, rows = [], []
-    for row, text in enumerate(texts):
-        tokens = text.encode().lower().split() if text else []
-        if not tokens:
-            continue
-        line = b" ".join(tokens)
-        if len(tokens) <= words:
-            hashes.append(digest(line, 42))
-        else:
-            size = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-            begin = [0, *size[:-words].tolist()]
-            hashes += [digest(line[a:b], 42) for a, b in zip(begin, (size[words - 1 :] - 1).tolist(), strict=True)]
-        ends.append(len(hashes))
-        rows.append(row)
-    if not rows:
+def _fingerprints(hashes: np.ndarray, starts: np.ndarray, wide: int = 1) -> np.ndarray:
+    """SimHash of each run of shingle hashes: (runs, ``wide``) words of 64 bits."""
+    out = np.zeros((len(starts), wide), np.uint64)
+    if not len(starts):
         return out
-    starts = np.array([0, *ends[:-1]])
-    mixed, size = np.array(hashes, "<u8"), np.diff(np.append(starts, len(hashes)))[:, None]
+    mixed, size = hashes.astype("<u8"), np.diff(np.append(starts, len(hashes)))[:, None]
     for w in range(wide):
         if w:
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(w)
@@ -71,7 +51,18 @@ def fingerprints_of(texts: list[str | None], words: int, wide: int = 1) -> np.nd
             mixed ^= mixed >> np.uint64(32)
         bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         over = np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > size
-        out[rows, w] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+        out[:, w] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def fingerprints_of(texts: list[str | None], words: int, wide: int = 1) -> np.ndarray:
+    """SimHash of each text over its shingles of ``words`` words, repeats included: (texts, ``wide``) words of 64 bits.
+
+    The first word comes from XXH64 with seed 42, each further one from that hash mixed anew.
+    """
+    hashes, starts, rows = shingle_sets(texts, words)
+    out = np.zeros((len(texts), wide), np.uint64)
+    out[rows] = _fingerprints(hashes, starts, wide)
     return out
 
 
@@ -240,44 +231,47 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
 
 def _each_set(texts: list[str | None], words: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
     """Row, sorted distinct shingle hashes and their 128-bit digest of each text that has words."""
-    hashes, starts, rows = shingle_sets(texts, words)
+    yield from _sets_of(*shingle_sets(texts, words))
+
+
+def _sets_of(hashes: np.ndarray, starts: np.ndarray, rows: list[int]) -> Iterator[tuple[int, np.ndarray, bytes]]:
     for row, a, b in zip(rows, starts, np.append(starts[1:], len(hashes)), strict=True):
         own = np.unique(hashes[a:b])
         yield row, own, xxhash.xxh3_128_digest(own.tobytes())
 
 
-def min_hashes(texts: list[str | None], words: int, count: int) -> tuple[np.ndarray, list[int]]:
-    """(texts with words, ``count``) minima of the shingles' hashes under as many multipliers, and the rows of those texts."""
-    hashes, starts, rows = shingle_sets(texts, words)
-    out = np.empty((len(rows), count), np.uint64)
+def min_hashes(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """(texts with words, ``count``) minima of the shingles' hashes under as many multipliers."""
+    out = np.empty((len(starts), count), np.uint64)
     for i, odd in enumerate(np.random.default_rng(11).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
-        if rows:
+        if len(starts):
             out[:, i] = np.minimum.reduceat(hashes * odd, starts)
-    return out, rows
+    return out
 
 
 def _signed_texts(docs: DataFrame, words: int, bands: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, print, g1, g2, size, keys, sig) for every row: hash of its text, digest and size of its shingle set, a key for each band and a byte of each minimum; null without words."""
+    """(id, print, g1, g2, size, fp, keys, sig) for every row: hash of its text, digest and size of its shingle set, its SimHash fingerprint, a key for each band and a byte of each minimum; null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 texts = part.column("t").to_pylist()
-                least, rows = min_hashes(texts, words, bands * depth)
+                hashes, starts, rows = shingle_sets(texts, words)
+                least, prints = min_hashes(hashes, starts, bands * depth), _fingerprints(hashes, starts)[:, 0].view(np.int64)
                 mixed = np.zeros((len(rows), bands), np.uint64)
                 for d in range(depth):
                     mixed = (mixed ^ least[:, d::depth]) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
                 low = ((least >> np.uint64(40)) ^ (least >> np.uint64(24))).astype(np.uint8)
                 digest: list = [None] * len(texts)
-                keys, sig, size = list(digest), list(digest), list(digest)
-                for k, (row, own, name) in enumerate(_each_set(texts, words)):
-                    digest[row], size[row], keys[row], sig[row] = np.frombuffer(name, np.int64).tolist(), len(own), mixed[k].view(np.int64), low[k].tobytes()
+                keys, sig, size, fp = list(digest), list(digest), list(digest), list(digest)
+                for k, (row, own, name) in enumerate(_sets_of(hashes, starts, rows)):
+                    digest[row], size[row], fp[row], keys[row], sig[row] = np.frombuffer(name, np.int64).tolist(), len(own), int(prints[k]), mixed[k].view(np.int64), low[k].tobytes()
                 halves = [pa.array([d and d[h] for d in digest], pa.int64()) for h in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("p"), *halves, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "print", "g1", "g2", "size", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("p"), *halves, pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "print", "g1", "g2", "size", "fp", "keys", "sig"])
 
-    return docs.select(F.col(id_col).alias("k"), text_print(F.col(text_col)).alias("p"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, print bigint, g1 bigint, g2 bigint, size bigint, keys array<bigint>, sig binary")
+    return docs.select(F.col(id_col).alias("k"), text_print(F.col(text_col)).alias("p"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, print bigint, g1 bigint, g2 bigint, size bigint, fp bigint, keys array<bigint>, sig binary")
 
 
 def _heads(t: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -465,7 +459,16 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
     return joined.mapInArrow(decide, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, depth: int = 4, alike: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _linked_by_fingerprint(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b) pairs of nodes: those of one fingerprint with the first of them, and the first of each two fingerprints that ``link_fingerprints`` links."""
+    least = stored(prints.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = prints.select("node", "fp").join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node"))
+    links = link_fingerprints(least.select("fp"), radius).join(of("a"), "a").join(of("b"), "b").where("a <> b")
+    return same.union(links.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node")))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, bands: int = 20, depth: int = 4, alike: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, print, component_id, kept) for every row whose id is not null; component_id is the smallest id of its group of near copies.
 
     ``print`` is ``text_print`` of the row's text; ``kept`` holds for the one
@@ -473,7 +476,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
 
     Two texts are near copies if their sets of shingles of ``words`` words have
     at least this Jaccard ``similarity``; every link is decided by the sets
-    themselves. Candidates agree on one of ``bands`` bands of ``depth`` minimal
+    themselves. The first candidates are the links of the texts' SimHash
+    fingerprints at ``radius`` differing bits, by covering masks. At 0.8 two
+    fingerprints differ in ten bits of 64 or so, so more candidates come from
+    texts that agree on one of ``bands`` bands of ``depth`` minimal
     hashes and on ``alike`` of all the minima's bytes: a pair at 0.8 is missed
     with probability (1 - 0.8^4)^20, three in 100,000, and one in ten million
     for the second test, six standard deviations off. Texts without words are
@@ -491,7 +497,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     docs = docs.where(F.col(id_col).isNotNull())
     share = Fraction(str(similarity))
     of = stored(_signed_texts(docs, words, bands, depth, id_col, text_col), "prints")
-    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min(F.struct("id", "print")).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    prints = of.where("g1 IS NOT NULL").groupBy("g1", "g2").agg(F.min(F.struct("id", "print")).alias("first"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     prints = stored(prints.withColumn("node", F.monotonically_increasing_id()), "distinct")
     members, rest, links = prints.select("node", "sig", F.posexplode("keys").alias("t", "key")), None, None
 
@@ -507,13 +513,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         links = new if links is None else links.unionByName(new)
         return stored(components(links), "groups")
 
-    pairs = None
+    pairs = _linked_by_fingerprint(prints, radius)
     while True:  # buckets too large for one part, then the hubs of their parts, and so on
         hot = stored(members.groupBy("t", "key").count().where(F.col("count") > PART).select("t", "key", F.ceil(F.col("count") / PART).alias("parts")), "hot")
         part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1)).cast("long").alias("part")
         found = stored(_first_candidates(members.join(hot, ["t", "key"], "left").select("t", "key", part, "node", "sig"), alike), "near")
         near = found.where("t < 0").select("a", "b")
-        pairs = near if pairs is None else pairs.unionByName(near)
+        pairs = pairs.unionByName(near)
         of_level = found.where("t >= 0").select(F.col("a").alias("node"), "t", "key", "sig", "hub")
         rest = of_level if rest is None else rest
         members = of_level.where("hub").drop("hub")

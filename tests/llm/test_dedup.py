@@ -168,6 +168,27 @@ def test_near_copies_are_decided_by_jaccard(spark):
     assert got == want
 
 
+def test_near_copies_link_fingerprints_first(spark):
+    """Bands that find nothing (no pair has more equal bytes than there are) leave what fingerprints link and the sets confirm."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for g in range(8):
+        own = [f"g{g}x{rng.randrange(9000)}" for _ in range(1500)]
+        near = list(own)
+        near[rng.randrange(1500)] = "changed"
+        rows += [(10 * g, " ".join(own)), (10 * g + 1, " ".join(near))]
+        print_ = simhash.fingerprints_of([t for _, t in rows[-2:]], 5)[:, 0]
+        want |= {10 * g: 10 * g, 10 * g + 1: 10 * g + (int(print_[0] ^ print_[1]).bit_count() > 4)}
+    for k in range(2):  # fingerprints of one repeated shingle, sets that are far apart
+        rows.append((3000 + k, " ".join(["same"] * 2000 + [f"r{k}x{i}" for i in range(100)])))
+        want[3000 + k] = 3000 + k
+    prints = simhash.fingerprints_of([t for _, t in rows[-2:]], 5)[:, 0]
+    assert int(prints[0] ^ prints[1]).bit_count() <= 4 and sum(v % 10 == 0 for v in want.values()) > 12
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, bands=1, depth=8, alike=9).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
