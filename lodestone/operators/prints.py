@@ -9,6 +9,18 @@ from .browse import first_by
 
 #: An open job is trusted for so long even if the outcome names another file.
 TRUSTED_MS = 3 * 24 * 3600 * 1000
+#: Rows that a task of a chain of joins holds.
+MOST_ROWS = 100_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of about MOST_ROWS rows each, as many as shuffles have at least.
+
+    Joins that follow on a key run in the tasks that it was dealt to, each with
+    sorts of its own. A number that is given stays, where AQE would put together
+    what is small as shuffled; both sides get it, else one is dealt again.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MOST_ROWS))
 
 
 def owner_of_content(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -18,11 +30,12 @@ def owner_of_content(wanted: DataFrame, files: DataFrame) -> DataFrame:
     file it was sent from decides, then the only model, then the model it was in
     when it was linked, then the one with most copies, the older on a tie.
     """
-    rows = wanted.join(files.where("model IS NOT NULL").select(F.col("content_key").alias("key"), F.col("location").alias("_at"), "model"), "key")
-    sent = rows.where("_at = location").groupBy("id").agg(F.min("model").alias("_sent"))
-    copies = rows.groupBy("id", "at_link", "model").agg(F.count("*").alias("n"))
-    best = first_by(copies, ["id"], [F.when(F.col("model") == F.col("at_link"), 0).otherwise(1), F.desc("n"), F.col("model")]).select("id", F.col("model").alias("_best"))
-    return wanted.join(sent, "id", "left").join(best, "id", "left").withColumn("owner", F.coalesce("_sent", "_best")).drop("_sent", "_best")
+    there = files.where("model IS NOT NULL").select(F.col("content_key").alias("key"), F.col("location").alias("_at"), "model")
+    rows = wanted.select("id", "key", "location", "at_link").join(there, "key")
+    sent = F.coalesce(F.col("_at") == F.col("location"), F.lit(False)).cast("int")
+    copies = rows.groupBy("id", "at_link", "model").agg(F.count("*").alias("n"), F.max(sent).alias("sent"))
+    order = [F.desc("sent"), F.when(F.col("sent") == 1, F.col("model")), F.when(F.col("model") == F.col("at_link"), 0).otherwise(1), F.desc("n"), F.col("model")]
+    return wanted.join(first_by(copies, ["id"], order).select("id", F.col("model").alias("owner")), "id", "left")
 
 
 def effective_links(prints: DataFrame, decisions: DataFrame, files: DataFrame) -> DataFrame:
@@ -33,12 +46,12 @@ def effective_links(prints: DataFrame, decisions: DataFrame, files: DataFrame) -
     model, content_key (one of the two), the later one counts; files as for
     ``owner_of_content``.
     """
-    last = first_by(decisions, ["print_id"], [F.desc("id")]).select(F.col("print_id").alias("id"), F.col("model").alias("d_model"), F.col("content_key").alias("d_key"), F.lit(True).alias("by_decision"))
-    rows = prints.join(last, "id", "left").withColumn("by_decision", F.coalesce("by_decision", F.lit(False)))
+    number = tasks_for(prints)
+    last = first_by(decisions.repartition(number, "print_id"), ["print_id"], [F.desc("id")]).select(F.col("print_id").alias("id"), F.col("model").alias("d_model"), F.col("content_key").alias("d_key"), F.lit(True).alias("by_decision"))
+    rows = prints.repartition(number, "id").join(last, "id", "left").withColumn("by_decision", F.coalesce("by_decision", F.lit(False)))
     key = F.when(F.col("by_decision"), F.col("d_key")).otherwise(F.col("content_key"))
     rows = rows.withColumn("key", key).withColumn("at_link", F.when(~F.col("by_decision"), F.col("model_at_link")))
-    owned = owner_of_content(rows.where("key IS NOT NULL").select("id", "key", "location", "at_link"), files).select("id", "owner")
-    rows = rows.join(owned, "id", "left")
+    rows = owner_of_content(rows, files)
     trusted = ~F.coalesce(F.col("link_confidence").isin("low", "none"), F.lit(True))
     by_link = F.when(F.col("key").isNotNull() | trusted, F.col("model_at_link"))
     model = F.when(F.col("by_decision"), F.coalesce("d_model", "owner")).otherwise(F.coalesce(F.col("owner"), by_link))
