@@ -1,8 +1,8 @@
-"""Links of prints: results against plain loops, and no task that grows with the table."""
+"""Links of prints and claims by sets of names: results against plain loops, and no task that grows with the table."""
 
 import random
 
-from lodestone.operators import prints
+from lodestone.operators import lineage, prints
 
 
 def test_links_run_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -31,3 +31,20 @@ def test_links_run_in_tasks_of_bounded_size(spark, monkeypatch):
         else:
             want[i] = (owner if owner is not None else was if k or sure == "high" else None, k)
     assert {r.id: (r.model, r.key) for r in got.collect()} == want
+
+
+def test_hits_of_object_sets_are_counted_without_pairs(spark):
+    rng = random.Random(5)
+    names = lambda: sorted({rng.choice("abc") for _ in range(2)})
+    sliced = {f"f{i}": names() for i in range(30)}
+    plates = [(f"f{rng.randrange(60)}", k, rng.choice([names(), names() * 2, []])) for k in range(50)] + [(None, 1, ["a"])]
+    besides = sorted({(f"f{rng.randrange(30)}", f"f{rng.randrange(60)}") for _ in range(80)})
+    objects = spark.createDataFrame([(f, n) for f, ns in [*sliced.items(), (None, ["a"])] for n in ns], "content_key string, name string")
+    there = spark.createDataFrame(plates, "content_key string, plate_no int, names array<string>")
+    pairs = {(f, p) for f, ns in sliced.items() for p, _, own in plates if p and own and sorted(set(own)) == ns and f != p}
+    for out, known in ((lineage.by_object_set(objects, there), set()), (lineage.by_object_set(objects, there, spark.createDataFrame(besides, "subject string, object string")), set(besides))):
+        left = pairs - known
+        want = sorted((f, p, sum(x == f for x, _ in left)) for f, p in left)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 20
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs & set(besides)
