@@ -256,6 +256,44 @@ def test_mixer_and_kinds_learn_from_all_training_texts(spark, monkeypatch):
     assert (again.centres == kinds.centres).all() and len(kinds.centres)
 
 
+def test_tokens_share_what_they_begin_with(spark, monkeypatch):
+    rng = random.Random(4)
+    made = {(rng.choice([7, 39]), "".join(rng.choices(["an", "der", "é", "\x01", "ous"], k=rng.randint(1, 6))).encode()) for _ in range(600)} | {(7, lm.END), (39, lm.END), (7, b"an" * 400)}
+    made = sorted(made, key=lambda _: rng.random())
+    tokens, place = [t for _, t in made], np.array([p for p, _ in made], np.int32)
+    whole = [t if t == lm.END else t + b" " for t in tokens]
+    spelt = {(p, w[: i + 1]) for p, w in zip(place.tolist(), whole, strict=True) for i in range(len(w))}
+    parts = list(lm.shared_bytes(tokens, place))
+    assert sum(len(b.byte) for _, b in parts) <= len(spelt) * 1.02 < 0.6 * sum(map(len, whole))
+    # Each token's bytes are those that it has when it is spelled alone.
+    for some, b in parts:
+        for i, token in enumerate(some.tolist()):
+            alone = lm.Bytes.spelling([tokens[token]], place[token : token + 1])
+            at = b.of[b.owner == i]
+            assert bytes(b.byte[at]) == whole[token] and (b.hashes[:, at] == alone.hashes).all()
+    # So counts and scores are those of tokens spelled apart, however the tokens are dealt out.
+    count = np.array([rng.randint(1, 9) for _ in tokens])
+    slots, bits, owner, _ = lm.spelled(tokens, place, 6)
+    total = np.zeros((2, int(lm.table_starts(6)[-1])))
+    for k in range(len(lm.CONTEXTS)):
+        np.add.at(total, (bits, slots[k]), count[owner])
+    rows = [(int(p), bytearray(t), int(c)) for p, t, c in zip(place, tokens, count, strict=True)]
+    table = lm.count_bits(spark.createDataFrame(rows, "place int, token binary, c bigint").repartition(3), 2, 6)
+    assert (table.counts == lm.packed(total)).all()
+    mixer = lm.Mixer.new()
+    mixer.learn(table, tokens, place, count, 6)
+    for itself in (False, True):
+        apart = [mixer.score(table, [t], place[i : i + 1], itself, 6)[0] for i, t in enumerate(tokens)]
+        assert mixer.score(table, tokens, place, itself, 6) == pytest.approx(apart, rel=1e-5)
+    # A byte with most of the weight is in most steps of learning, not in one.
+    monkeypatch.setattr(lm, "STEP", 64)
+    steps, bits_of = [], lm.bits_of
+    monkeypatch.setattr(lm, "bits_of", lambda byte, hashes, less: steps.append({h.tobytes() for h in np.vstack([hashes, byte]).T}) or bits_of(byte, hashes, less))
+    heavy = np.where(np.arange(len(tokens)) == tokens.index(lm.END), 10**6, 1)
+    lm.Mixer.new().learn(table, tokens, place, heavy, 6)
+    assert len(steps) > 5 and max(sum(h in step for step in steps) for h in set.union(*steps)) > len(steps) / 2
+
+
 def test_frequent_words_are_exact_where_tasks_keep_counts_back(spark):
     # "spread" is never frequent enough in one task to be told, but comes first in all.
     rows = [(f"own{p} " * 30 + "spread " * 20 + " ".join(f"w{p}-{i}" for i in range(50)),) for p in range(8)]
