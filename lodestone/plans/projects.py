@@ -2,61 +2,68 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import rekey
-from ..sources import archives
+from ..sources import archives, zipped
 from .registry import query
-from .tables import table
-
-#: Archives that are handed on together.
-AT_ONCE = 256
+from .tables import spread, table
 
 _BY = {"F": "BambuStudio-02.06.00.51", "O": "OrcaSlicer-2.1.0", "P": ""}
+_KIND = {"N": "3mf", "A": "cone"}
+
+
+@lru_cache(256)
+def _model(title: str, status: str, method: int) -> zipped.Packed:
+    """The model's entry, which all orders of a priority and a status share."""
+    text = f'<model><metadata name="Title">{title}</metadata><metadata name="Application">{_BY[status]}</metadata><resources>' + "<vertex/>" * 2000 + "</resources></model>"
+    return zipped.packed("3D/3dmodel.model", text.encode(), method)
+
 
+@lru_cache(2)
+def _added(method: int) -> list[zipped.Packed]:
+    """Entries that are the same in every project."""
+    return [zipped.packed("Auxiliaries/Model Pictures/é.png", b"\x89PNG\r\n\x1a\n", method), zipped.packed("Auxiliaries/.thumbnails/small.png", b"none", method)]
 
-def _archive(row) -> bytes:
+
+def _archive(key: int, title: str, status: str, parts: list[int], quantities: list[float], flags: list[str]) -> bytes:
     """An order as a project: its lines are plates with one object each; the returned ones are sliced."""
-    lines = [x | {"n": k} for k, x in enumerate(sorted(row.lines, key=lambda x: (x["n"], x["part"], x["quantity"], x["flag"])), 1)]
-    objects = "".join(f'<object id="{x["n"]}"><metadata key="name" value="Part &amp; {x["part"]}"/><part><metadata key="name" value="{x["part"]}.{x["kind"]}"/><metadata key="source_file" value="{x["part"] % 10}.step"/></part></object>' for x in lines)
-    laid = "".join(f'<plate><metadata key="plater_id" value="{x["n"]}"/>' + f'<model_instance><metadata key="object_id" value="{x["n"]}"/></model_instance>' * (1 + int(x["quantity"]) % 3) + "</plate>" for x in lines)
-    told = "".join(
-        f'<plate><metadata key="index" value="{x["n"]}"/><metadata key="prediction" value="{int(x["quantity"]) * 60}"/><metadata key="weight" value="{x["quantity"]}"/>'
-        f'<filament id="1" type="PLA" color="#00ff00ff" used_g="{x["quantity"]}"/><object name="Part {x["part"]}" skipped="false"/></plate>'
-        for x in lines
-    )
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if row.key % 2 else zipfile.ZIP_STORED) as z:
-        z.writestr("3D/3dmodel.model", f'<model><metadata name="Title">{row.title}</metadata><metadata name="Application">{_BY[row.status]}</metadata><resources>' + "<vertex/>" * 2000 + "</resources></model>")
-        z.writestr("Metadata/model_settings.config", f"<config>{objects}{laid}</config>")
-        z.writestr("Metadata/slice_info.config", f"<config>{told}</config>")
-        for x in lines:
-            if x["flag"] == "R":
-                z.writestr(f"Metadata/plate_{x['n']}.gcode", f"G1 X{x['part']}\n")
-        z.writestr("Auxiliaries/Model Pictures/é.png", b"\x89PNG\r\n\x1a\n")
-        z.writestr("Auxiliaries/.thumbnails/small.png", b"none")
-    data = out.getvalue()
-    return data[: len(data) // 2] if row.key % 50 == 0 else data  # a copy that was cut off
+    method = zipped.DEFLATED if key % 2 else zipped.STORED
+    objects, laid, told, sliced = [], [], [], []
+    for n, (part, quantity, flag) in enumerate(zip(parts, quantities, flags, strict=True), 1):
+        objects.append(f'<object id="{n}"><metadata key="name" value="Part &amp; {part}"/><part><metadata key="name" value="{part}.{_KIND.get(flag, "stl")}"/><metadata key="source_file" value="{part % 10}.step"/></part></object>')
+        laid.append(f'<plate><metadata key="plater_id" value="{n}"/>' + f'<model_instance><metadata key="object_id" value="{n}"/></model_instance>' * (1 + int(quantity) % 3) + "</plate>")
+        told.append(
+            f'<plate><metadata key="index" value="{n}"/><metadata key="prediction" value="{int(quantity) * 60}"/><metadata key="weight" value="{quantity}"/>'
+            f'<filament id="1" type="PLA" color="#00ff00ff" used_g="{quantity}"/><object name="Part {part}" skipped="false"/></plate>'
+        )
+        if flag == "R":
+            sliced.append(zipped.packed(f"Metadata/plate_{n}.gcode", f"G1 X{part}\n".encode(), method))
+    laid_out, plates = f"<config>{''.join(objects)}{''.join(laid)}</config>", f"<config>{''.join(told)}</config>"
+    data = zipped.archive([
+        _model(title, status, method),
+        zipped.packed("Metadata/model_settings.config", laid_out.encode(), method),
+        zipped.packed("Metadata/slice_info.config", plates.encode(), method),
+        *sliced,
+        *_added(method),
+    ])
+    return data[: len(data) // 2] if key % 50 == 0 else data  # a copy that was cut off
 
 
 def _projects(spark, sf_dir):
-    """(order, content) of every order's project."""
-    kind = F.when(F.col("l_returnflag") == "N", "3mf").when(F.col("l_returnflag") == "A", "cone").otherwise("stl")
-    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), kind.alias("kind"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(line).alias("lines"))
+    """(order, content) of every order's project.
+
+    Contents are made by a plain UDF, which Spark runs in one go with the UDF
+    that reads them, so they never leave a Python worker.
+    """
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    # Spread before they are grouped: a repartition after the join would be optimized away and the rest coalesced into few long tasks.
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), line.alias("line")), "key").groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status")).join(lines, "key")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (f.iloc[k : k + AT_ONCE] for f in frames for k in range(0, len(f), AT_ONCE)):
-            yield pd.DataFrame({"order": frame["key"], "content": [_archive(row) for row in frame.itertuples()]})
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return orders.repartition(parts, "key").mapInPandas(run, "order bigint, content binary")
+    content = F.udf(_archive, "binary", useArrow=False)("key", "title", "status", "lines.part", "lines.quantity", "lines.flag")
+    return orders.select(F.col("key").alias("order"), content.alias("content"))
 
 
 _LINES = "l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS n, l_partkey AS part, l_quantity AS q, l_returnflag AS flag FROM lineitem), o AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS s, o_orderkey % 50 = 0 AS cut FROM orders WHERE o_orderkey IN (SELECT k FROM l))"

@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from lodestone.functions import titles
+from lodestone.plans import projects
 from lodestone.sources import archives, files, zipped
 from lodestone.sources.zipped import Archive, ArchiveError
 
@@ -166,3 +167,30 @@ def test_contents_go_to_python_in_small_batches(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "InArrow" not in plan and "ArrowEval" not in plan  # those take 10,000 contents at once
     assert found.where("error IS NOT NULL AND bytes_read = 0").count() == 3000
+
+
+@pytest.mark.parametrize("method", [zipped.STORED, zipped.DEFLATED])
+def test_archives_that_are_made_are_read_by_others(method):
+    entries = {"a": b"", "é/b.gcode": b"G1 X1\n", "c": b"<x/>" * 1024, "d": bytes(range(256)) * 17, "e": b"<vertex/>" * 20_000}
+    made = zipped.archive([zipped.packed(n, d, method) for n, d in entries.items()])
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        assert z.testzip() is None and {i.filename: z.read(i) for i in z.infolist()} == entries and all(i.compress_type == method for i in z.infolist())
+    own = Archive.of(made)
+    assert {n: own.read(n, 1 << 20) for n in own.entries} == entries
+
+
+def test_no_byte_is_left_in_the_inflater():
+    for n in [*range(1000, 1300), *range(3000, 3400), *range(65_536, 66_000)]:
+        held = Archive.of(packed({"a": b"\0" * n}))
+        assert sum(map(len, held.chunks(held.entries["a"], n))) == n and len(held.read("a", n)) == n
+
+
+def test_projects_are_made_and_read_in_one_go_by_as_many_tasks_as_shuffles_have(spark, tmp_path):
+    spark.range(100).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(300).selectExpr("id % 100 AS l_orderkey", "id AS l_partkey", "CAST(id AS INT) AS l_linenumber", "2.0D AS l_quantity", "'R' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query, rows in ((projects.project_facts, 100), (projects.archive_entries, 2 + 98 * 3)):
+        found = query(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("+- BatchEvalPython") == 1 and "MapInPandas" not in plan  # contents stay in the worker
+        assert "REPARTITION_BY_NUM" in plan  # and tasks are not coalesced by the few bytes that they read
+        assert found.count() == rows
