@@ -101,7 +101,7 @@ SELECT o.k AS "order", 'Metadata/plate_' || n || '.gcode' AS name, octet_length(
 UNION ALL SELECT k, NULL, NULL, NULL, true FROM o WHERE cut""")
 def archive_entries(spark, sf_dir):
     """The sliced plates inside the projects by their hashes, and the archives that cannot be read."""
-    found = archives.with_entries(_projects(spark, sf_dir), "order")
+    found = archives.with_entries(_projects(spark, sf_dir), "order", wanted=r"\.gcode\Z")
     return found.where("name LIKE '%.gcode' OR name IS NULL").select("order", "name", "size", "sha256", F.col("error").isNotNull().alias("broken"))
 
 

@@ -194,3 +194,15 @@ def test_projects_are_made_and_read_in_one_go_by_as_many_tasks_as_shuffles_have(
         assert plan.count("+- BatchEvalPython") == 1 and "MapInPandas" not in plan  # contents stay in the worker
         assert "REPARTITION_BY_NUM" in plan  # and tasks are not coalesced by the few bytes that they read
         assert found.count() == rows
+
+
+def test_only_wanted_entries_are_read(spark, tmp_path):
+    (tmp_path / "one.3mf").write_bytes(packed({"m.model": "<vertex/>" * 300_000, "a.gcode": "G1", "b.gcode.md5": "x", "é/c.gcode": "G2"}, zipfile.ZIP_STORED))
+    (tmp_path / "none.3mf").write_bytes(packed({"m.model": "x"}))
+    (tmp_path / "cut.3mf").write_bytes(packed({"a.gcode": "x" * 1000})[:-30])
+    listed = files.listing(spark, f"file://{tmp_path}")
+    every = archives.with_entries(listed, content=None)
+    some = archives.with_entries(listed, content=None, wanted=r"\.gcode\Z").drop("bytes_read").orderBy("path", "name").collect()
+    assert some == every.where("name LIKE '%.gcode' OR name IS NULL").drop("bytes_read").orderBy("path", "name").collect() and [r.name for r in some] == [None, "a.gcode", "é/c.gcode"]
+    read = lambda found: found.agg({"bytes_read": "max"}).first()[0]
+    assert read(every) > 2_700_000 and read(archives.with_entries(listed, content=None, wanted=r"\.gcode\Z")) < 100_000
