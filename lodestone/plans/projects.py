@@ -7,9 +7,10 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from ..operators import rekey
+from ..operators.prints import tasks_for
 from ..sources import archives, zipped
 from .registry import query
-from .tables import spread, table
+from .tables import table
 
 _BY = {"F": "BambuStudio-02.06.00.51", "O": "OrcaSlicer-2.1.0", "P": ""}
 _KIND = {"N": "3mf", "A": "cone"}
@@ -59,9 +60,12 @@ def _projects(spark, sf_dir):
     that reads them, so they never leave a Python worker.
     """
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), line.alias("line"))
     # Spread before they are grouped: a repartition after the join would be optimized away and the rest coalesced into few long tasks.
-    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), line.alias("line")), "key").groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status")).join(lines, "key")
+    tasks = tasks_for(held)
+    lines = held.repartition(tasks, "key").groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))
+    orders = orders.repartition(tasks, "key").join(lines, "key")
     content = F.udf(_archive, "binary", useArrow=False)("key", "title", "status", "lines.part", "lines.quantity", "lines.flag")
     return orders.select(F.col("key").alias("order"), content.alias("content"))
 

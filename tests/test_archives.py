@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from lodestone.functions import titles
+from lodestone.operators import prints
 from lodestone.plans import projects
 from lodestone.sources import archives, files, zipped
 from lodestone.sources.zipped import Archive, ArchiveError
@@ -206,3 +207,12 @@ def test_only_wanted_entries_are_read(spark, tmp_path):
     assert some == every.where("name LIKE '%.gcode' OR name IS NULL").drop("bytes_read").orderBy("path", "name").collect() and [r.name for r in some] == [None, "a.gcode", "é/c.gcode"]
     read = lambda found: found.agg({"bytes_read": "max"}).first()[0]
     assert read(every) > 2_700_000 and read(archives.with_entries(listed, content=None, wanted=r"\.gcode\Z")) < 100_000
+
+
+def test_tasks_that_make_projects_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(prints, "MOST_ROWS", 50)
+    spark.range(100).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(450).selectExpr("id % 100 AS l_orderkey", "id AS l_partkey", "CAST(id AS INT) AS l_linenumber", "2.0D AS l_quantity", "'A' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = projects.project_facts(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < 9 and ", 9), REPARTITION_BY_NUM" in plan and found.where("plates IN (4, 5)").count() == 98
